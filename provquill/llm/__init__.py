@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .quality_rules import op7_quality_rules
+    from .simhash import op3_simhash
 
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    return {f.__name__: f for f in (op3_simhash, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
