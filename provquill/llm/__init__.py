@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .huffman import op5_huffman
+    from .packing import op2_packing
     from .quality_rules import op7_quality_rules
     from .simhash import op3_simhash
 
-    return {f.__name__: f for f in (op3_simhash, op7_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_simhash, op5_huffman, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
