@@ -11,11 +11,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .huffman import op5_huffman
     from .packing import op2_packing
     from .pii import op10_pii
+    from .positional_index import op8_decontamination
     from .quality_rules import op7_quality_rules
     from .secrets import op9_secrets
     from .simhash import op3_simhash
 
-    return {f.__name__: f for f in (op2_packing, op3_simhash, op5_huffman, op7_quality_rules, op9_secrets, op10_pii)}
+    return {f.__name__: f for f in (op2_packing, op3_simhash, op5_huffman, op7_quality_rules, op8_decontamination, op9_secrets, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
