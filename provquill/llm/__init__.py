@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .chat import op4_chat
     from .huffman import op5_huffman
     from .packing import op2_packing
     from .pii import op10_pii
@@ -15,9 +16,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from .quality_rules import op7_quality_rules
     from .secrets import op9_secrets
     from .simhash import op3_simhash
+    from .toxicity import op6_toxicity
 
-    return {f.__name__: f for f in (op2_packing, op3_simhash, op5_huffman, op7_quality_rules, op8_decontamination, op9_secrets, op10_pii)}
+    return {f.__name__: f for f in (op2_packing, op3_simhash, op4_chat, op5_huffman, op6_toxicity, op7_quality_rules, op8_decontamination, op9_secrets, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import ORACLE_SQL
+
+    return {"op4_chat": ORACLE_SQL}
