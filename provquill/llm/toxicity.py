@@ -1,21 +1,24 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Positives are documents that ``labels.toxic`` confirms; everything else is unlabelled text.  A linear classifier
-over the presence of words minimises the class-prior-corrected risk
+over word marks minimises the class-prior-corrected risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; where the bracket turns negative its gradient is reversed,
-so that the classifier cannot fit the unlabelled part below zero risk.  Words are chosen by how much more often
-positives have them than unlabelled texts; words are compared by their whole spelling, never by a bucket.
+so that the classifier cannot fit the unlabelled part below zero risk.  A mark is a whole word, or
+the first letters of one (languages build words from stems), at a least count or a least share of the text's
+words.  Marks are chosen by how much more often positives have them than unlabelled texts; they are compared by
+their whole spelling, never by a bucket.
 
 Training rows are bounded: ``max_positive`` positives and ``max_unlabelled`` other documents (smallest hashes of
-their ids), ``max_words`` words.  Scoring reads every whole text in one pass, without a shuffle.
+their ids), ``max_marks`` marks.  Scoring reads every whole text in one pass, without a shuffle.
 
-Defined results: null and empty texts get the score of a text without any chosen word; ties in the choice of
-words go by spelling; repeated rows are scored each; an empty table gives an empty one; without a confirmed
+Defined results: null and empty texts get the score of a text without any mark; ties in the choice of
+marks go by spelling; repeated rows are scored each; an empty table gives an empty one; without a confirmed
 example every score is 0; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,14 +35,39 @@ HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"
 DECIDE_AT = 0.7
 
 
+#: Letters of a stem; least counts; least shares in hundredths of the words.
+STEMS, COUNTS, SHARES = (4, 5, 6, 7, 8), (2, 4, 8), (1, 2, 4, 8)
+
+
+def stem_counts(text: str | None) -> tuple[int, Counter[str]]:
+    """(words, counts of whole words, written word$, and of stems, written ^letters) of a whole text."""
+    words = b" ".join(words_of(text)).decode("utf-8", "surrogatepass").split(" ")
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        if w:
+            out[f"{w}$"] = n
+            for k in STEMS:
+                if len(w) < k:
+                    break
+                out[f"^{w[:k]}"] += n
+    return sum(n for w, n in out.items() if w[-1] == "$"), out
+
+
+def marks_of(stem: str, n: int, words: int) -> list[str]:
+    return [stem, *(f"{stem} n{k}" for k in COUNTS if n >= k), *(f"{stem} s{k}" for k in SHARES if 100 * n >= k * words)]
+
+
 @dataclass
 class Model:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     bias: float
 
+    def __post_init__(self) -> None:
+        self.stems = {m.split(" ")[0] for m in self.weights}
+
     def score(self, text: str | None) -> float:
-        known = self.weights
-        z = self.bias + sum(known[w] for w in known.keys() & set(words_of(text)))
+        words, counts = stem_counts(text)
+        z = self.bias + sum(self.weights.get(m, 0.0) for s in self.stems & counts.keys() for m in marks_of(s, counts[s], words))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -61,7 +89,7 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 4000, max_unlabelled: int = 8000, max_words: int = 256, least_share: float = 0.02) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 2000, max_unlabelled: int = 4000, max_marks: int = 400, least_share: float = 0.02) -> Model:
     """Fit on the rows that are not held out; labels of held-out rows are never read."""
     usable = bare(labels, "doc_id", label).where(f"doc_id IS NOT NULL AND {label} IS NOT NULL AND NOT ({HELD_OUT})").groupBy("doc_id").agg(F.max(label).alias("y"))
     share = usable.agg(F.avg(F.col("y").cast("double")).alias("p"), F.sum("y").alias("n")).first()
@@ -76,36 +104,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive
     chosen = F.broadcast(positives.union(others))  # max_positive + max_unlabelled ids at most
     small_batches(docs.sparkSession)
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(set(words_of(t))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.binary()))], names=["doc_id", "pos", "words"])
+            found = []
+            for text in batch.column(2).to_pylist():
+                words, counts = stem_counts(text)
+                found.append([m for s, n in counts.items() for m in marks_of(s, n, words)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "pos", "marks"])
 
     sample = bare(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", "pos", "text")
-    sample = materialize(sample.mapInArrow(distinct_words, "doc_id long, pos int, words array<binary>"), "toxicity-sample")
+    sample = materialize(sample.mapInArrow(all_marks, "doc_id long, pos int, marks array<string>"), "toxicity-sample")
     sizes = sample.agg(F.expr("count_if(pos = 1)").alias("p"), F.expr("count_if(pos = 0)").alias("u")).first()
     if not sizes.p or not sizes.u:
         return Model({}, -30.0)
-    counts = sample.select("pos", F.explode("words").alias("word")).groupBy("word").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("u"))
+    counts = sample.select("pos", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("pos").alias("p"), F.sum(1 - F.col("pos")).alias("u"))
     least = max(2, least_share * sizes.p)
     ratio = f"ln((p + 0.1D) / {sizes.p}D) - ln((u + 0.5D) / {sizes.u}D)"
-    words = [bytes(r.word) for r in counts.where(f"p >= {least} AND {ratio} > {0.4 * -np.log(prior)}D").orderBy(F.expr(f"p * ({ratio})").desc(), "word").limit(max_words).collect()]
-    if not words:
+    marks = [r.mark for r in counts.where(f"p >= {least} AND {ratio} > {0.4 * -np.log(prior)}D").orderBy(F.expr(f"p * ({ratio})").desc(), "mark").limit(max_marks).collect()]
+    if not marks:
         return Model({}, float(np.log(prior / (1 - prior))))
-    place = {w: k for k, w in enumerate(words)}
+    place = {m: k for k, m in enumerate(marks)}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[place[w] for w in ws if w in place] for ws in batch.column(1).to_pylist()]
+            found = [[place[m] for m in ms if m in place] for ms in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["pos", "places"])
 
     matrix = {0: [], 1: []}
-    for r in sample.select("pos", "words").mapInArrow(rows, "pos int, places array<int>").collect():  # the bounded sample
-        x = np.zeros(len(words))
+    for r in sample.select("pos", "marks").mapInArrow(rows, "pos int, places array<int>").collect():  # the bounded sample
+        x = np.zeros(len(marks))
         x[r.places] = 1
         matrix[r.pos].append(x)
     weights, bias = nnpu(np.array(sorted(map(tuple, matrix[1]))), np.array(sorted(map(tuple, matrix[0]))), prior)
-    return Model({w: float(weights[k]) for w, k in place.items()}, bias)
+    return Model({m: float(weights[k]) for m, k in place.items()}, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
