@@ -107,7 +107,7 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
-            found = encode(batch.column(1).to_pylist())
+            found = encode(batch.column(1))
             ids = [np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)) for raw in found]
             if ids and max(int(x.max()) for x in ids) > 65535:
                 raise ValueError("ids above 65535 need a wider token table")

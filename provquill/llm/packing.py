@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
         ranks: dict[int, int] = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 raw, start = raw + end, 0
                 for length in cut(len(raw) // 4, capacity, tail):
                     rank = ranks.get(length, 0)
