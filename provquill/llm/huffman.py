@@ -1,8 +1,8 @@
 """Token ids as length-limited canonical Huffman code, in independent blocks with bit-offset checkpoints.
 
 Format of a written folder (version 1): ``codebook`` holds (id, bits), from which the canonical codes follow
-(shorter first, then smaller ids); ``blocks`` holds one row per block: its part and first row there (blocks in
-that order are in ascending doc_id order), the doc_ids and id counts of its whole texts, the number of ids, the
+(shorter first, then smaller ids); ``blocks`` holds one row per block: its part and first row there (parts by
+their first doc_id, then rows, are in ascending doc_id order), the doc_ids and id counts of its whole texts, the number of ids, the
 bit offset of every CHECKPOINT-th id, and the bits, first bit highest.  Each block decodes by itself, and each
 checkpoint starts an own lane, so one block's lanes are decoded together through one 2^16-entry table.
 
@@ -105,29 +105,29 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, row, end = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")
         for batch in batches:
-            found = encode(batch.column(1))
-            ids = [np.append(np.frombuffer(raw, dtype="<u4"), np.uint32(end_id)) for raw in found]
-            if ids and max(int(x.max()) for x in ids) > 65535:
+            found = [raw + end for raw in encode(batch.column(1))]
+            ids = np.frombuffer(b"".join(found), dtype="<u4")
+            if len(ids) and ids.max() > 65535:
                 raise ValueError("ids above 65535 need a wider token table")
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary()), pa.array([part] * n, pa.int64()), pa.array(range(row, row + n), pa.int64())], names=["doc_id", "ids", "part", "row"])
+            n, offsets = batch.num_rows, np.concatenate(([0], np.cumsum([len(x) // 2 for x in found]))).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array([part] * n, pa.int64()), pa.array(range(row, row + n), pa.int64())], names=["doc_id", "ids", "part", "row"])
             row += n
 
     return bare(docs, "doc_id", "text").mapInArrow(run, _TOKENS)
 
 
 def _in_order(spark: SparkSession, path: str) -> str:
-    """The path of the token table in ascending doc_id order by (part, row): the same one if its parts already are.
+    """A token table whose parts ascend and do not overlap in doc_id: the same one if it is so already.
 
-    Tables are mostly written in id order; then every part is ascending and parts do not overlap, which one
-    aggregate over (doc_id, part, row) shows.  Otherwise rows are range-partitioned, which gives new parts.
+    Tables are mostly written in id order; one aggregate over (doc_id, part, row) shows whether this one is.  Otherwise rows are range-partitioned, which gives new parts.
     """
     keys = spark.read.schema(_TOKENS).parquet(path).select("doc_id", "part", "row")
     steps = keys.withColumn("before", F.lag("doc_id").over(Window.partitionBy("part").orderBy("row")))
     spans = steps.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.expr("bool_and(doc_id IS NOT NULL AND (before IS NULL OR before <= doc_id))").alias("rising"))
-    spans = spans.withColumn("reached", F.max("high").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("reached", F.max("high").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)))
     if spans.agg(F.expr("coalesce(bool_and(rising AND (reached IS NULL OR reached < low)), true)")).first()[0]:
         return path
 
@@ -213,10 +213,10 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())] if keep_ids else columns, names=["doc_id", "inside", "n_tokens", "ids_crc32", "part", "row"] + ["ids"] * keep_ids)
 
     stored = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    sizes = stored.select("part", "row", "n_ids")
+    sizes = stored.select("part", "row", "n_ids", F.expr("doc_ids[0]").alias("first"))
     in_part = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))).join(parts, "part").select("part", "row", (F.col("part_start") + F.col("before")).alias("block_start"))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(F.struct("row", "first")).getField("first").alias("first")).withColumn("part_start", F.coalesce(F.sum("n").over(Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n_ids").over(in_part), F.lit(0))).join(parts.drop("first"), "part").select("part", "row", (F.col("part_start") + F.col("before")).alias("block_start"))
     schema = "doc_id long, inside long, n_tokens long, ids_crc32 long, part long, row long" + ", ids binary" * keep_ids
     rows = stored.mapInArrow(decode, schema).join(starts, ["part", "row"])
     return rows.select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
