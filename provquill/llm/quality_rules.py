@@ -191,4 +191,5 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stats = materialize(document_statistics(bare(docs, "doc_id", "text").where("doc_id IS NOT NULL")).drop("text"), "document-statistics")
     rules = learn(stats, table(spark, sf_dir, "labels"))
     judged = apply_rules(document_statistics(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text"), rules)
-    return judged.where("kept").select("_row.*")
+    # The optimizer would else push the filter below the statistics and compute them again for each use.
+    return judged.withColumn("_place", F.monotonically_increasing_id()).where("kept AND _place >= 0").select("_row.*")
