@@ -119,6 +119,15 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return bare(docs, "doc_id", "text").mapInArrow(run, _TOKENS)
 
 
+def _values(column: pa.Array) -> np.ndarray:
+    """All ids of a binary column, one after another, as they lie in its buffer."""
+    if not len(column):
+        return np.zeros(0, dtype="<u2")
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    bounds = np.frombuffer(column.buffers()[1], dtype=wide)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].view("<u2")
+
+
 def _in_order(spark: SparkSession, path: str) -> str:
     """A token table whose parts ascend and do not overlap in doc_id: the same one if it is so already.
 
@@ -153,7 +162,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(65536, dtype=np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=65536)
+            total += np.bincount(_values(batch.column(0)), minlength=65536)
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 

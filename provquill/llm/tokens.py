@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .common import worker_state
 
 #: Pieces kept per worker and vocabulary; later ones are encoded batch by batch.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 #: White space other than plain blanks and newlines; a piece with any sends its text the whole way.
 _OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
@@ -74,10 +74,10 @@ class Encoder:
         at = cut.offsets.to_numpy() - cut.offsets[0].as_py()
         odd = np.zeros(len(pieces), dtype=bool)
         if not self.drops_space:
-            odd[[k for k, p in enumerate(pieces) if p in ("", " ")]] = True
+            odd[[pieces.index(p) for p in ("", " ") if p in pieces]] = True
         if _OTHER_SPACE.search("".join(pieces)):
             odd |= np.fromiter((_OTHER_SPACE.search(p) is not None for p in pieces), dtype=bool, count=len(pieces))
-        found = [self.cache.get(p) for p in pieces]
+        found = list(map(self.cache.get, pieces))
         missing = [k for k, f in enumerate(found) if f is None]
         if missing:
             names = [pieces[k] for k in missing]
