@@ -35,8 +35,8 @@ def segmented_statistics(df: DataFrame, segments: dict[str, Column], value: str)
 
 def correlation(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson's r where both are present; null under three pairs or for a constant side."""
-    found = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
-    return found.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.round("r", 6)).alias("r"))
+    found = df.where(f"{x} IS NOT NULL AND {y} IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("_c"), F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
+    return found.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.round(F.col("_c") / (F.col("_sx") * F.col("_sy")), 6)).alias("r"))
 
 
 def cohorts(rows: DataFrame, entity: str, fired: str, product: str, min_size: int = 1, top: int = 4) -> DataFrame:

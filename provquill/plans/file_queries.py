@@ -1 +1,74 @@
-"""Queries."""
+"""File queries: the tables hold no media, so small files are spelled from part keys and walked."""
+
+from __future__ import annotations
+
+import struct
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.verdict import verdicts
+from ..sources import files
+from .registry import load, query
+
+
+def chunk(kind: bytes, body: bytes) -> bytes:
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def tiny_png(*text: tuple[str, str]) -> bytes:
+    """A 1 x 1 gray image with text chunks."""
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + b"".join(chunk(b"tEXt", k.encode() + b"\0" + v.encode("latin-1")) for k, v in text) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+
+
+_KINDS = (tiny_png(("parameters", "a cat, steps 20")), tiny_png(("Title", "holiday")), tiny_png(("Software", "Midjourney v6")), b"\xff\xd8\xff\xe1\x00\x0aExif\0\0II\xff\xd9", b"")
+
+
+def spelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of five small files per part."""
+    k = F.col("p_partkey")
+    content = F.lit(None).cast("binary")
+    for n, data in enumerate(_KINDS):
+        content = F.when(k % 5 == n, F.lit(bytearray(data))).otherwise(content)
+    return load(spark, sf_dir, "part").select(k.cast("string").alias("path"), content.alias("content"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 5 WHEN 3 THEN 'jpeg' WHEN 4 THEN 'unknown' ELSE 'png' END AS container, CAST(CASE p_partkey % 5 WHEN 3 THEN 1 WHEN 4 THEN 0 ELSE 4 END AS BIGINT) AS entries FROM part")
+def s19_container_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content sniff and chunk inventories."""
+    w = files.walk(spelled_files(spark, sf_dir))
+    return w.select("path", "container", F.size("entries").cast("long").alias("entries"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 IN (0, 2) THEN true END AS is_ai, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'high' ELSE 'none' END AS confidence, CASE p_partkey % 5 WHEN 0 THEN 'gen_params' WHEN 2 THEN 'exif_generator' ELSE '' END AS signals FROM part")
+def p32_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to verdicts."""
+    v = verdicts(files.evidence(files.walk(spelled_files(spark, sf_dir))), "region")
+    return v.select("path", F.col("is_ai_generated").alias("is_ai"), "confidence", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"))
+
+
+@query("SELECT 'same' AS state, count(*) AS n FROM part")
+def p31_record_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's verdict equals its portable record's."""
+    w = files.walk(spelled_files(spark, sf_dir))
+    pick = lambda d: d.select("path", "is_ai_generated", "platform", "confidence", F.to_json("signals").alias("signals"))
+    a, b = pick(verdicts(files.evidence(w))).alias("a"), pick(verdicts(files.evidence_from_records(files.records(w)))).alias("b")
+    same = F.lit(True)
+    for c in ("is_ai_generated", "platform", "confidence", "signals"):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, F.col("a.path") == F.col("b.path")).groupBy(F.when(same, "same").otherwise("differs").alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, CASE WHEN contains(text, 'http') THEN 'link' ELSE 'plain' END AS kind, right(text, 16) AS tail FROM documents WHERE text IS NOT NULL")
+def s28_hash_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hash, sniff by content, tail window."""
+    d = load(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.when(F.contains("text", F.lit("http")), "link").otherwise("plain").alias("kind"), F.expr("substring(text, greatest(1, length(text) - 15), 16)").alias("tail"))
+
+
+@query("""SELECT e.event_id, e.k AS value FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) e WHERE e.k IS NOT NULL AND e.event_id % 10 <> 0""")
+def s37_jsonl_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with a done set (S37): permissive parse, then skip what is done."""
+    e = load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("value")).where("value IS NOT NULL")
+    return e.join(e.where("event_id % 10 = 0").select("event_id"), "event_id", "left_anti")

@@ -1 +1,91 @@
-"""Queries."""
+"""Sequence queries: events per user stand in for frames; a region follows from each event."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.probes import iou
+from ..operators import sequences as S
+from .registry import load, query
+
+_FRAMES = """frames AS (SELECT user_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame_index, (event_id % 10) / 10.0 AS confidence,
+  CASE WHEN event_id % 6 <> 0 THEN (event_id // 40) % 3 * 5 END AS x, 0 AS y, 20 AS w, 20 AS h FROM events)"""
+_IOU = "(greatest(0, least({a}x + {a}w, {b}x + {b}w) - greatest({a}x, {b}x)) * greatest(0, least({a}y + {a}h, {b}y + {b}h) - greatest({a}y, {b}y)))"
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    region = F.struct((F.expr("event_id div 40") % 3 * 5).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(20).alias("w"), F.lit(20).alias("h"))
+    return e.select(F.col("user_id").alias("sequence"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("frame_index"), (F.col("event_id") % 10 / 10.0).alias("confidence"), F.when(F.col("event_id") % 6 != 0, region).alias("region"))
+
+
+_SEEN = f"""WITH {_FRAMES}, seen AS (SELECT *, lag(x) OVER q AS px, lag(frame_index) OVER q AS pf FROM frames WHERE x IS NOT NULL AND confidence >= 0.2 WINDOW q AS (PARTITION BY sequence ORDER BY frame_index)),
+m AS (SELECT *, CASE WHEN pf IS NULL OR frame_index - pf > 4 OR greatest(0, least(x, px) + 20 - greatest(x, px)) * 20.0 / (800 - greatest(0, least(x, px) + 20 - greatest(x, px)) * 20) < 0.55 THEN 1 ELSE 0 END AS new FROM seen),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY sequence ORDER BY frame_index) AS BIGINT) AS run FROM m)"""
+
+
+@query(_SEEN + " SELECT sequence, run, count(*) AS n, min(frame_index) AS first_frame, max(frame_index) AS last_frame, round(max(confidence), 3) AS top FROM r GROUP BY sequence, run")
+def w01_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run segmentation by gap and overlap."""
+    r = S.runs(frames(spark, sf_dir), 0.2)
+    return r.groupBy("sequence", "run").agg(F.count("*").alias("n"), F.min("frame_index").cast("long").alias("first_frame"), F.max("frame_index").cast("long").alias("last_frame"), F.round(F.max("confidence"), 3).alias("top"))
+
+
+@query(_SEEN + " SELECT sequence, frame_index, run FROM (SELECT *, count(*) OVER (PARTITION BY sequence, run) AS c, max(confidence) OVER (PARTITION BY sequence, run) AS t FROM r) WHERE c >= 4 AND t >= 0.9")
+def w03_accepted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run acceptance: long enough and once strong."""
+    r = S.accepted_runs(S.runs(frames(spark, sf_dir), 0.2), 4, 0.9)
+    return r.select("sequence", F.col("frame_index").cast("long").alias("frame_index"), "run")
+
+
+@query()
+def w02_anchored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchored run segmentation (W02); the tests hold it against a plain loop."""
+    return S.anchored_runs(frames(spark, sf_dir), 0.2, 0.55).groupBy("sequence", "run").agg(F.count("*").alias("n"))
+
+
+@query()
+def w05_stabilized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap filling and cover after confirmation (W04, W05, W06, J16, J17); the tests hold it against a plain loop."""
+    out = S.stabilize(frames(spark, sf_dir), S.Policy(0.2, 0.9, 0.1, 4, cover=True))
+    return out.select("sequence", F.col("frame_index").cast("long").alias("frame_index"), F.col("accepted.x").cast("long").alias("x"))
+
+
+@query("SELECT user_id, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_type) AS k FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)) WHERE k = 1")
+def w07_first_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First by priority."""
+    e = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return S.first_stable(e.withColumn("_p", F.struct(rank.alias("r"), "event_type")), "user_id", "_p").drop("_p")
+
+
+@query("SELECT user_id, max(g) - min(g) > 60 AS variable FROM (SELECT user_id, lead(t) OVER (PARTITION BY user_id ORDER BY t) - t AS g FROM (SELECT user_id, CAST(epoch(ts) AS BIGINT) AS t FROM events)) GROUP BY 1")
+def w09_variable_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uneven time steps."""
+    e = load(spark, sf_dir, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("t"))
+    return S.variable_interval(e, "user_id", "t", 60)
+
+
+@query("""WITH b AS (SELECT p_brand, p_partkey % 97 AS top, p_size AS h, max(p_partkey % 97 + p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey % 97, p_size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 97, p_size) AS k FROM (SELECT DISTINCT p_brand, p_partkey, p_size FROM part))
+SELECT p_brand, CAST(sum(CASE WHEN reach IS NULL OR reach - top < 0.5 * h THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM b GROUP BY 1""")
+def w13_line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line grouping by vertical overlap."""
+    b = load(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey % 97 AS top", "p_size AS h")
+    return S.line_groups(b, "p_brand", "top", "h").groupBy("p_brand").agg(F.max("line").alias("lines"))
+
+
+@query("SELECT p_partkey, list_aggregate(list_distinct(CASE WHEN w <= 16 THEN [0] ELSE list_append(list_filter(range(0, w - 15, 12), lambda p: p + 16 <= w), w - 16) END), 'count') AS n, CASE WHEN w <= 16 THEN 0 ELSE w - 16 END AS last FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS w FROM part)")
+def w14_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tile plan along an axis with a flush last tile."""
+    t = S.tiles(load(spark, sf_dir, "part").select("p_partkey", "p_size", F.lit(10).alias("one")), "p_size", "one", 16, 4)
+    return t.groupBy("p_partkey").agg(F.count("*").alias("n"), F.max("tile_x").cast("long").alias("last"))
+
+
+@query("SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE greatest(0, least(a.p_size, b.p_size)) * 1.0 / greatest(a.p_size, b.p_size) >= 0.8")
+def j15_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spatial overlap join within a group."""
+    p = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("p_size").alias("w"), F.lit(1).alias("h")).alias("region"))
+    a, b = p.alias("a"), p.alias("b")
+    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    return j.where(iou(F.col("a.region"), F.col("b.region")) >= 0.8).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
