@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import audit_queries, evidence_queries, file_queries, sequence_queries, vector_queries  # noqa: F401
+    from . import audit_queries, evidence_queries, file_queries, sequence_queries, stream_queries, vector_queries  # noqa: F401
     from .registry import QUERIES
 
     return dict(QUERIES)

@@ -223,3 +223,33 @@ def p34_status_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("c_custkey") % 2 == 0, '{"validation_status":[{"code":"general.error"}]}').otherwise('{"validation_results":{"activeManifest":{"success":[{"code":"ok"}]}},"validation_status":[{"code":"general.error"}]}')
     _, _, bad = status_codes(parse_store(text))
     return load(spark, sf_dir, "customer").select("c_custkey", (F.size(bad) > 0).alias("fallback"), F.size(bad).cast("long").alias("failures"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'kept' WHEN c_custkey % 3 = 0 THEN 'vetoed' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'dropped' END ELSE 'dropped' END AS pill FROM customer WHERE NOT (c_custkey % 7 = 0 AND c_custkey % 3 = 0)")
+def f28_pill_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep rule of a weak mark (F27, F28, F30): vetoed by another product's mark, kept with its own or by provenance on a flat ground."""
+    from ..operators.marks import keep_pill
+
+    k = F.col("c_custkey")
+    fired = F.array_compact(F.array(F.when(k % 3 == 0, "doubao"), F.when(k % 7 == 0, "jimeng")))
+    kept = keep_pill(fired, F.when(k % 5 == 0, F.array(F.lit("jimeng"))).otherwise(F.array().cast("array<string>")), k % 2 == 0)
+    vetoed = F.array_contains(fired, "doubao")
+    return load(spark, sf_dir, "customer").where("NOT (c_custkey % 7 = 0 AND c_custkey % 3 = 0)").select("c_custkey", F.when(kept, "kept").when(vetoed, "vetoed").otherwise("dropped").alias("pill"))
+
+
+@query("""SELECT p_partkey, mark, p_size / 100.0 >= gate AS strict, p_size / 100.0 >= gate * factor AS relaxed FROM part, (VALUES ('doubao', 0.5, 0.7), ('jimeng', 0.45, 0.7), ('kling', 0.35, 1.0)) m(mark, gate, factor)""")
+def f22_mark_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict and relaxed gates of marks over a score table."""
+    from ..operators.marks import gates
+
+    scores = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 100.0).alias("score"), F.explode(F.array(*[F.lit(m) for m in ("doubao", "jimeng", "kling")])).alias("mark"))
+    return gates(scores).select("p_partkey", "mark", "strict", "relaxed")
+
+
+@query("SELECT p_partkey, greatest(p_size * 3 - 8 * p_size // 10 - 5, 0) AS x, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS tier FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
+def f18_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size tier and placement by integer arithmetic."""
+    from ..operators.audits import bucket
+
+    w = F.col("p_size").cast("long")
+    return load(spark, sf_dir, "part").select("p_partkey", F.expr("greatest(cast(p_size AS bigint) * 3 - 8 * cast(p_size AS bigint) div 10 - 5, 0L)").alias("x"), bucket(w, (10, 30), ("small", "medium", "large")).alias("tier"))

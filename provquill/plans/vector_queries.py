@@ -96,3 +96,13 @@ def f07_psnr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f03_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script detection."""
     return load(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(F.col("text").rlike("[äöüß]")).alias("umlauts"), F.count_if(V.has_script(F.col("text"), "Cyrillic")).alias("cyrillic"))
+
+
+@query()
+def f34_pixel_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel evidence (F10-F13, F34, F39, A17, A19) of gray rasters spelled from the vectors' values."""
+    from ..functions.pixels import pixel_evidence
+
+    e = load(spark, sf_dir, "embeddings").where("size(embedding) >= 64")
+    data = F.unhex(F.array_join(F.transform(F.slice("embedding", 1, 64), lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 127), F.lit(256)).cast("int")), 2, "0")), ""))
+    return pixel_evidence(e.select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))).select("path", "status", "phash", F.round("noise_std", 6).alias("noise_std"), F.round("gradient_median", 6).alias("gradient_median"))
