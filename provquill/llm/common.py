@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound what one Arrow batch holds, so that a run of long texts does not fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
@@ -81,11 +81,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
-    """An object kept for the life of a Python worker (a tokenizer, an automaton), built once per key."""
+    """An object kept for the life of a Python worker (a tokenizer, tables of powers), built once per key.
+
+    A worker keeps the last key's object only: stages follow one another, and a vocabulary that the last one
+    used would else take memory from the next.
+    """
     home = sys.modules.setdefault("_provquill_worker_state", types.ModuleType("_provquill_worker_state"))
-    if not hasattr(home, key):
-        setattr(home, key, make())
-    return getattr(home, key)
+    if getattr(home, "key", None) != key:
+        home.key, home.value = None, None
+        home.value, home.key = make(), key
+    return home.value
+
+
+def forget_worker_state() -> None:
+    """Let go of what worker_state keeps; for tasks that need memory and no kept object."""
+    home = sys.modules.get("_provquill_worker_state")
+    if home is not None:
+        home.key, home.value = None, None
 
 
 def bare(docs: DataFrame, *names: str) -> DataFrame:

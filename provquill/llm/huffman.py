@@ -102,7 +102,7 @@ def decode_block(n: int, checkpoints: np.ndarray, packed: bytes, symbols: np.nda
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids as unsigned 16-bit, part, row) of every whole text, the end id appended."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000, "16m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row, end = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, end_id.to_bytes(4, "little")

@@ -42,7 +42,7 @@ def cut(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, tail: int = TAIL) -> DataFrame:
     """One row per piece, with its worker's number and its rank among that worker's pieces of the same length."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000, "16m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, part = encoder(tokenizer).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, small_batches, table, write_shared
+from .common import bare, forget_worker_state, small_batches, table, write_shared
 
 WINDOW = 13
 #: Words of a shard, and the gap between its documents.
@@ -60,6 +60,7 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, shard_wor
     known = None if vocabulary is None else {w: k for k, w in enumerate(sorted(vocabulary))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
         part, number = TaskContext.get().partitionId(), 0
         terms: dict[bytes, int] = {} if known is None else known
         doc_ids: list[int | None] = []
