@@ -118,6 +118,17 @@ def test_pixels():
     assert pixels.vote(np.array([1, 0, 1, 0]), 2).tolist() == [True, False]
 
 
+def test_haar_bits_against_a_loop():
+    plane = np.random.default_rng(3).integers(0, 256, (27, 41)).astype(float)
+    want = []
+    for r in range(0, 24, 8):
+        for c in range(0, 40, 8):
+            low = [plane[r + 2 * i : r + 2 * i + 2, c + 2 * j : c + 2 * j + 2].sum() / 2 for i in range(4) for j in range(4)]
+            want.append(int(max(low[1:]) % 36 > 18))
+    assert pixels.haar_bits(plane).tolist() == want
+    assert pixels.haar_bits(np.zeros((1, 9))).size == 0
+
+
 def test_files_end_to_end(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(tiny_png(("parameters", "a cat")))
     (tmp_path / "b.png").write_bytes(tiny_png())
