@@ -142,3 +142,14 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = k / n
     mid, half, scale = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return F.when(n == 0, F.lit(0.0)).otherwise((mid - half) / scale), F.when(n == 0, F.lit(0.0)).otherwise((mid + half) / scale)
+
+
+def cbor_text_after(buf: Column, key: str) -> Column:
+    """The CBOR text string that follows a key in a buffer: short, one-byte and two-byte lengths; null for anything else."""
+    latin = F.decode(buf, "ISO-8859-1")
+    at = F.locate(key, latin)
+    rest = F.substring(latin, at + len(key), F.lit(70_000))
+    byte = lambda k: F.ascii(F.substring(rest, k, 1))
+    text = F.when(byte(1).between(0x60, 0x77), F.substring(rest, F.lit(2), byte(1) - 0x60)).when(byte(1) == 0x78, F.substring(rest, F.lit(3), byte(2))).when(byte(1) == 0x79, F.substring(rest, F.lit(4), byte(2) * 256 + byte(3)))
+    plain = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
+    return F.when((at > 0) & plain.rlike(r"^[^\x00-\x1F\x7F]+$"), plain)

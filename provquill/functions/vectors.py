@@ -80,3 +80,9 @@ def mean_vector(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     parts = rows.select(*by, F.posexplode(vector).alias("pos", "v")).groupBy(*by, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
     whole = parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("m"))
     return whole.withColumn("m", F.when(dot(F.col("m"), F.col("m")) > 0, F.transform("m", lambda x: x / F.sqrt(dot(F.col("m"), F.col("m"))))).otherwise(F.col("m")))
+
+
+def random_baseline(spark, n: int, size: int, seed: int) -> DataFrame:
+    """n vectors of normal numbers that depend on the seed alone."""
+    cell = lambda i: F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(seed), "id", i), F.lit(1 << 40)) + 1) / (1 << 40))) * F.cos(2 * 3.141592653589793 * F.pmod(F.xxhash64(F.lit(seed + 1), "id", i), F.lit(1 << 40)) / (1 << 40))
+    return spark.range(n).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell).alias("embedding"))

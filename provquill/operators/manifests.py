@@ -75,3 +75,13 @@ def reachable(roots: DataFrame, links: DataFrame, key: str = "path", root: str =
             return reached
         reached = reached.union(frontier)
     raise ValueError(f"chains deeper than {max_rounds}")
+
+
+def structured_fields(stores: DataFrame, key: str = "path", store: str = "store") -> DataFrame:
+    """Per store the issuers and claim generators of the active manifest and its usable ingredients, nearest first."""
+    roots = stores.select(key, F.col(f"{store}.active_manifest").alias("root"))
+    chain = reachable(roots, edges(stores, key, store), key)
+    nodes = stores.select(key, F.explode(f"{store}.manifests").alias("node", "m"))
+    found = chain.join(nodes, [key, "node"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("depth", "node", F.col("m.signature_info.issuer").alias("issuer"), F.col("m.claim_generator").alias("generator")))).alias("c"))
+    kept = lambda f: F.array_distinct(F.array_compact(F.transform("c", lambda x: x[f])))
+    return found.select(key, kept("issuer").alias("issuers"), kept("generator").alias("claim_generators"))

@@ -208,3 +208,20 @@ def a23_priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of grouped counts."""
     g = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return g.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long"))
+
+
+@query()
+def j14_greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy one-to-one matching (J14); the tests hold it against a plain loop."""
+    from ..operators.matching import greedy_pairs
+
+    p = load(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
+    a, b = p.where("p_partkey % 20 = 0").alias("a"), p.where("p_partkey % 20 = 1").alias("b")
+    c = a.join(b, F.col("a.p_brand") == F.col("b.p_brand")).select(F.col("a.p_brand").alias("p_brand"), F.col("a.p_partkey").alias("l"), F.col("b.p_partkey").alias("r"), (1.0 / (1 + F.abs(F.col("a.p_size") - F.col("b.p_size")))).alias("score"))
+    return greedy_pairs(c, "p_brand", "l", "r", "score", 0.05)
+
+
+@query("SELECT r_regionkey, array_to_string(list_filter(['head', CASE WHEN r_regionkey % 2 = 0 THEN 'even' END, 'tail'], lambda x: x IS NOT NULL), '>') AS parts FROM region")
+def t09_ordered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered concatenation of optional parts."""
+    return load(spark, sf_dir, "region").select("r_regionkey", F.array_join(F.array_compact(F.array(F.lit("head"), F.when(F.col("r_regionkey") % 2 == 0, "even"), F.lit("tail"))), ">").alias("parts"))

@@ -253,3 +253,36 @@ def f18_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = F.col("p_size").cast("long")
     return load(spark, sf_dir, "part").select("p_partkey", F.expr("greatest(cast(p_size AS bigint) * 3 - 8 * cast(p_size AS bigint) div 10 - 5, 0L)").alias("x"), bucket(w, (10, 30), ("small", "medium", "large")).alias("tier"))
+
+
+@query("SELECT p_partkey, 'gen ' || p_name AS generator FROM part")
+def p33_cbor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CBOR text after a key."""
+    name = F.concat(F.lit("gen "), F.col("p_name"))
+    size = F.length(name)
+    head = F.when(size < 24, F.char(size + 0x60)).otherwise(F.concat(F.lit("x"), F.char(size)))
+    buf = F.encode(F.concat(F.lit("..claim_generator"), head, name, F.lit("tail")), "ISO-8859-1")
+    return load(spark, sf_dir, "part").select("p_partkey", P.cbor_text_after(buf, "claim_generator").alias("generator"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN true END AS is_ai, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'OpenAI' END, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 = 0 THEN 'veo' ELSE 'kling' END END) AS platform,
+ CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 'high' ELSE 'unknown' END AS confidence FROM part""")
+def p48_video_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video verdicts from markers and the first stable mark."""
+    from ..operators.video import video_verdicts
+
+    k = F.col("p_partkey")
+    v = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.when(k % 3 == 0, F.array(F.lit("Made with Sora"))).otherwise(F.array().cast("array<string>")).alias("markers"))
+    s = load(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(k.cast("string").alias("path"), F.explode(F.when(k % 8 == 0, F.array(F.lit("kling"), F.lit("veo"))).otherwise(F.array(F.lit("kling")))).alias("mark"))
+    return video_verdicts(v, s).select("path", F.col("is_ai_generated").alias("is_ai"), "platform", "confidence")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'OpenAI|Adobe' AS issuers, 'a0|b' || (p_partkey % 3) AS generators FROM part WHERE p_partkey % 10 = 0")
+def p37_structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuers and generators along a store's usable chain."""
+    from ..operators.manifests import structured_fields
+
+    text = F.expr("""concat('{"active_manifest":"a","manifests":{"a":{"claim_generator":"a0","signature_info":{"issuer":"OpenAI"},"ingredients":[{"active_manifest":"b"},{"active_manifest":"x","validation_status":[{"code":"claimSignature.mismatch"}]}]},"b":{"claim_generator":"b', p_partkey % 3, '","signature_info":{"issuer":"Adobe"}},"x":{"claim_generator":"never"}}}')""")
+    stores = load(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("path"), parse_store(text).alias("store"))
+    f = structured_fields(stores)
+    return f.select("path", F.array_join("issuers", "|").alias("issuers"), F.array_join("claim_generators", "|").alias("generators"))

@@ -72,3 +72,30 @@ def s37_jsonl_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines with a done set (S37): permissive parse, then skip what is done."""
     e = load(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("value")).where("value IS NOT NULL")
     return e.join(e.where("event_id % 10 = 0").select("event_id"), "event_id", "left_anti")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'true' ELSE '' END AS is_ai, CASE p_partkey % 5 WHEN 0 THEN 'gen_params' WHEN 2 THEN 'exif_generator' ELSE '' END AS signals FROM part")
+def s40_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat report rows."""
+    from ..sources.sinks import report_rows
+
+    r = report_rows(verdicts(files.evidence(files.walk(spelled_files(spark, sf_dir))), "region"))
+    return r.select("path", F.coalesce(F.col("is_ai").cast("string"), F.lit("")).alias("is_ai"), "signals")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 5 WHEN 3 THEN 'jpeg' WHEN 4 THEN 'unknown' ELSE 'png' END AS container, CASE p_partkey % 5 WHEN 0 THEN 'a cat, steps 20' END AS parameters FROM part")
+def s18_forensic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forensic records."""
+    from ..sources.sinks import forensic_records
+
+    r = forensic_records(spelled_files(spark, sf_dir))
+    return r.select("path", F.get_json_object("record", "$.container").alias("container"), F.get_json_object("record", "$.text.parameters").alias("parameters"))
+
+
+@query("SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 4 = 0 AND text IS NOT NULL)")
+def s38_manifest_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rows for a corpus manifest: unseen hashes, each once."""
+    from ..sources.sinks import new_manifest_rows
+
+    d = load(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").cast("string").alias("filename"), "doc_id")
+    return new_manifest_rows(d.where("doc_id % 4 = 0"), d).select("sha256")

@@ -142,3 +142,40 @@ def test_records_of_other_versions_raise(spark):
     df = spark.createDataFrame([("a", '{"schema_version": 2, "status": "complete"}')], "path string, record string")
     with pytest.raises(Exception, match="unsupported or incomplete"):
         files.evidence_from_records(df).collect()
+
+
+def test_greedy_pairs(spark):
+    from provquill.operators.matching import greedy_pairs
+
+    r = random.Random(4)
+    rows = [(g, a, b, r.randint(1, 9) / 10) for g in range(3) for a in range(6) for b in range(5)]
+    want = set()
+    for g in range(3):
+        left, right = set(), set()
+        for _, a, b, s in sorted((x for x in rows if x[0] == g), key=lambda x: (-x[3], x[1], x[2])):
+            if s >= 0.3 and a not in left and b not in right:
+                left.add(a)
+                right.add(b)
+                want.add((g, a, b, s))
+    got = greedy_pairs(spark.createDataFrame(rows, "g int, a int, b int, s double"), "g", "a", "b", "s", 0.3)
+    assert {tuple(x) for x in got.collect()} == want
+
+
+def test_sinks(spark, tmp_path):
+    from provquill.sources import sinks
+
+    v = verdict.verdicts(spark.createDataFrame([("a", bytearray(b"compositeSynthetic"))], "path string, scan binary"))
+    sinks.write_report_json(v, str(tmp_path / "j"))
+    sinks.write_report_csv(v, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "j")).first().path == "a"
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).first().signals == "iptc"
+    row = spark.createDataFrame([("a\0b" + "x" * 5000, bytearray(b"ab"))], "t string, b binary").select(sinks.safe_text(F.col("t")).alias("t"), sinks.capped_base64(F.col("b"), 1).alias("b")).first()
+    assert row.t.startswith("a�b") and row.t.endswith("…") and row.b == "YQ==…"
+
+
+def test_random_baseline(spark):
+    from provquill.functions.vectors import random_baseline
+
+    a = [r.embedding for r in random_baseline(spark, 50, 64, 1).orderBy("vec_id").collect()]
+    assert a == [r.embedding for r in random_baseline(spark, 50, 64, 1).orderBy("vec_id").collect()]
+    assert abs(np.mean(a)) < 0.1 and abs(np.std(a) - 1) < 0.1
