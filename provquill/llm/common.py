@@ -100,6 +100,18 @@ def forget_worker_state() -> None:
         home.key, home.value = None, None
 
 
+def routing_keys(spark: SparkSession, per_partition: int) -> list[int]:
+    """Whole numbers of which exactly per_partition fall to every shuffle partition, when hashed as a long column.
+
+    A few keys dealt by their hash leave some partitions with several and others with none; these fill all alike.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tried = spark.range(n * (20 + 4 * per_partition)).select("id", F.expr(f"pmod(hash(id), {n})").alias("p"))
+    found = tried.groupBy("p").agg(F.slice(F.sort_array(F.collect_list("id")), 1, per_partition).alias("ids")).orderBy("p").collect()
+    keys = [k for r in found for k in r.ids]
+    return keys if len(keys) == n * per_partition else list(range(n * per_partition))
+
+
 def bare(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of a table, so that further columns can never clash with an operator's own."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
