@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.probes import uscc
 from . import dims
 
 # Marks of the same label regime whose presence names another product.
@@ -33,3 +34,48 @@ def trust(decisions: DataFrame, provenance: str = "provenance", by: str = "path"
     j = decisions.join(strong, [by, "product"], "left")
     sibling = F.coalesce((F.col("_lo") != F.col("mark")) | (F.col("_hi") != F.col("mark")), F.lit(False))
     return j.withColumn("trust", F.when(F.array_contains(provenance, F.col("mark")) | sibling, "confirmed").otherwise("strict")).drop("_lo", "_hi")
+
+
+# Producer codes of labelled products, the pair that an unmapped producer leaves, and the sparkle's gates.
+PRODUCERS = {
+    "91110102MACQD9K640": "doubao", "doubao": "doubao", "9144030008867405X2": "jimeng", "91440101MA9Y9T4H7A": "qwen", "91110108335469089C": "kling", "91440300708461136T": "yuanbao",
+    "91340100MAEB4N8H76": "runninghub", "RunningHub": "runninghub", "91110000802100433B": "baidu", "91110105MACJ6K1C8A": "liblib",
+}
+FALLBACK = ("doubao", "jimeng")
+SPARKLE_CONFIDENT, SPARKLE_MARGIN, SPARKLE_GRADIENT, SPARKLE_KEEP, SPARKLE_WHITE, SPARKLE_DEMOTED = 0.65, 5.0, 0.55, 0.52, 0.20, 0.30
+
+
+def visible_keys(platform: Column, signal_names: Column, producer: Column) -> Column:
+    """Marks that a verdict confirms: by platform, by signal, and for a TC260 label by its producer's code."""
+    low = F.lower(F.coalesce(platform, F.lit("")))
+    coded = F.coalesce(*[F.when(uscc(producer) == code, F.array(F.lit(mark))) for code, mark in PRODUCERS.items()], F.array(*[F.lit(m) for m in FALLBACK]))
+    own = F.array_compact(F.array(F.when(F.contains(low, F.lit("google")) | F.contains(low, F.lit("gemini")), "gemini"), F.when(F.array_contains(signal_names, "samsung_genai"), "samsung")))
+    return F.array_union(own, F.when(F.array_contains(signal_names, "aigc"), coded).otherwise(F.array().cast("array<string>")))
+
+
+def sparkle_place(width: Column, height: Column) -> Column:
+    """Margins and side of the sparkle: the large tier needs both axes over 1024."""
+    large = (width > 1024) & (height > 1024)
+    return F.struct(F.when(large, 64).otherwise(32).alias("margin_x"), F.when(large, 64).otherwise(32).alias("margin_y"), F.when(large, 96).otherwise(48).alias("side"))
+
+
+def sparkle_confidence(spatial: Column, gradient: Column, variance: Column, margin: Column, saturation: Column, trusted: Column | None = None) -> Column:
+    """Fused component scores, demoted where core and edges do not stand out, unless provenance is trusted."""
+    fused = F.when(spatial < 0.25, F.greatest(F.lit(0.0), spatial * 0.5)).otherwise(spatial * 0.5 + gradient * 0.3 + variance * 0.2)
+    low_margin, low_gradient = F.coalesce(margin < SPARKLE_MARGIN, F.lit(False)), gradient < SPARKLE_GRADIENT
+    neutral = ~low_margin & F.coalesce(saturation <= SPARKLE_WHITE, F.lit(False))
+    keep = (~low_margin & ~low_gradient) | ((fused >= SPARKLE_KEEP) & neutral)
+    gated = (spatial >= 0.25) & (fused < SPARKLE_CONFIDENT) & ~(F.lit(False) if trusted is None else trusted)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(gated & ~keep, F.least(fused, F.lit(SPARKLE_DEMOTED))).otherwise(fused)))
+
+
+def decide(candidates: DataFrame, by: str = "path") -> DataFrame:
+    """The marks of each path that are reported: strict ones, relaxed ones under trust, the pill by its keep rule.
+
+    Columns: path, mark, product, strict, relaxed, flat, provenance.
+    """
+    judged = trust(candidates.withColumn("vouches", F.col("mark") != PILL), "provenance", by)
+    fired = judged.where(F.when(F.col("trust") == "confirmed", F.col("relaxed")).otherwise(F.col("strict")))
+    seen = fired.groupBy(by).agg(F.collect_set("mark").alias("_seen"))
+    kept = (F.col("mark") != PILL) | keep_pill(F.col("_seen"), F.col("provenance"), F.col("flat"))
+    return fired.join(seen, by).where(kept).drop("_seen", "vouches")

@@ -6,14 +6,15 @@ one mark, so windows partition by sequence and a sequence's frames are ordered,
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probes import iou
 
-MAX_GAP, STABLE_IOU = 3, 0.55
+#: Missing frames that a run may bridge, and the overlap that keeps it.
+MAX_GAP, STABLE_IOU = 2, 0.55
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,20 @@ class Policy:
     anchor_iou: float | None = None
 
 
+# Policies of video marks (weak, strong and transition floors, least frames, cover, anchor overlap).
+POLICIES = {
+    "sora": Policy(0.60, 0.65, 0.45, 5),
+    "veo": Policy(0.50, 0.55, 0.35, 12, True),
+    "seedance": Policy(0.38, 0.43, 0.30, 12, True, 0.80),
+    "dola": Policy(0.50, 0.52, 0.40, 12, True, 0.80),
+    "hailuo": Policy(0.30, 0.34, 0.28, 12, True, 0.80),
+    "kling": Policy(0.20, 0.24, 0.30, 12, True, 0.80),
+}
+# Weak floors under provenance, and marks that provenance does not relax.
+PROVENANCE_WEAK = {"sora": 0.58, "veo": 0.45, "dola": 0.48}
+NEVER_RELAXED = ("kling",)
+
+
 def runs(frames: DataFrame, weak: float, by: str = "sequence", max_gap: int = MAX_GAP, stable: float = STABLE_IOU) -> DataFrame:
     """Candidates of at least weak confidence with their run: a run breaks at a wider gap or a moved region."""
     w = Window.partitionBy(by).orderBy("frame_index")
@@ -87,6 +102,13 @@ def stabilize(frames: DataFrame, policy: Policy, provenance: bool = False, by: s
     return df.select(*frames.columns, "accepted")
 
 
+def stabilize_mark(frames: DataFrame, mark: str, provenance: bool = False, by: str = "sequence") -> DataFrame:
+    """stabilize() under a mark's own policy; provenance never makes a detection, it only relaxes the floors."""
+    trusted = provenance and mark not in NEVER_RELAXED
+    policy = POLICIES[mark]
+    return stabilize(frames, replace(policy, weak=PROVENANCE_WEAK.get(mark, policy.weak)) if trusted else policy, trusted, by)
+
+
 def first_stable(marks: DataFrame, by: str, priority: str) -> DataFrame:
     """The row of the least priority of each group."""
     return marks.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(priority))).where("_r = 1").drop("_r")

@@ -21,7 +21,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEEN = f"""WITH {_FRAMES}, seen AS (SELECT *, lag(x) OVER q AS px, lag(frame_index) OVER q AS pf FROM frames WHERE x IS NOT NULL AND confidence >= 0.2 WINDOW q AS (PARTITION BY sequence ORDER BY frame_index)),
-m AS (SELECT *, CASE WHEN pf IS NULL OR frame_index - pf > 4 OR greatest(0, least(x, px) + 20 - greatest(x, px)) * 20.0 / (800 - greatest(0, least(x, px) + 20 - greatest(x, px)) * 20) < 0.55 THEN 1 ELSE 0 END AS new FROM seen),
+m AS (SELECT *, CASE WHEN pf IS NULL OR frame_index - pf > 3 OR greatest(0, least(x, px) + 20 - greatest(x, px)) * 20.0 / (800 - greatest(0, least(x, px) + 20 - greatest(x, px)) * 20) < 0.55 THEN 1 ELSE 0 END AS new FROM seen),
 r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY sequence ORDER BY frame_index) AS BIGINT) AS run FROM m)"""
 
 
@@ -89,3 +89,12 @@ def j15_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = p.alias("a"), p.alias("b")
     j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
     return j.where(iou(F.col("a.region"), F.col("b.region")) >= 0.8).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
+
+
+@query()
+def w06_mark_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mark's policy over its candidates, with and without provenance."""
+    f = frames(spark, sf_dir)
+    plain = S.stabilize_mark(f, "sora").select("sequence", "frame_index", F.col("accepted").isNotNull().alias("plain"))
+    relaxed = S.stabilize_mark(f, "sora", True).select("sequence", "frame_index", F.col("accepted").isNotNull().alias("relaxed"))
+    return plain.join(relaxed, ["sequence", "frame_index"]).groupBy("sequence").agg(F.count_if("plain").alias("plain"), F.count_if("relaxed").alias("relaxed"))

@@ -30,7 +30,7 @@ def plain_runs(rows, weak, anchor=None):
             number = 0
         if region is None or c < weak:
             continue
-        if not run or k - run[-1][1] > 4 or overlap(run[-1][2], region) < 0.55 or (anchor is not None and overlap(run[0][2], region) < anchor):
+        if not run or k - run[-1][1] > 3 or overlap(run[-1][2], region) < 0.55 or (anchor is not None and overlap(run[0][2], region) < anchor):
             number += 1
             run = []
         run.append((s, k, region))
@@ -179,3 +179,24 @@ def test_random_baseline(spark):
     a = [r.embedding for r in random_baseline(spark, 50, 64, 1).orderBy("vec_id").collect()]
     assert a == [r.embedding for r in random_baseline(spark, 50, 64, 1).orderBy("vec_id").collect()]
     assert abs(np.mean(a)) < 0.1 and abs(np.std(a) - 1) < 0.1
+
+
+def test_sparkle_gate(spark):
+    rows = [(0.2, 0.9, 0.9, 9.0, 0.1), (0.8, 0.9, 0.5, 9.0, 0.1), (0.6, 0.5, 0.6, 9.0, 0.1), (0.6, 0.5, 0.6, 2.0, 0.1), (0.5, 0.4, 0.4, 9.0, 0.1), (0.6, 0.5, 0.6, 9.0, 0.9)]
+    df = spark.createDataFrame(rows, "spatial double, gradient double, variance double, margin double, saturation double")
+    c = [F.col(x) for x in ("spatial", "gradient", "variance", "margin", "saturation")]
+    got = [(round(r.a, 4), round(r.b, 4)) for r in df.select(marks.sparkle_confidence(*c).alias("a"), marks.sparkle_confidence(*c, F.lit(True)).alias("b")).collect()]
+    assert got == [(0.1, 0.1), (0.77, 0.77), (0.57, 0.57), (0.3, 0.57), (0.3, 0.45), (0.3, 0.57)]
+
+
+def test_decide(spark):
+    rows = [("f", "doubao", "d", True, True, False), ("f", "jimeng_pill", "j", True, True, True), ("g", "jimeng", "j", True, True, False), ("g", "jimeng_pill", "j", False, True, False), ("h", "jimeng_pill", "j", True, True, True), ("i", "kling", "k", False, True, False)]
+    df = spark.createDataFrame(rows, "path string, mark string, product string, strict boolean, relaxed boolean, flat boolean").withColumn("provenance", F.when(F.col("path").isin("h", "i"), F.array(F.lit("jimeng"), F.lit("kling"))).otherwise(F.array().cast("array<string>")))
+    assert sorted((r.path, r.mark, r.trust) for r in marks.decide(df).collect()) == [("f", "doubao", "strict"), ("g", "jimeng", "strict"), ("g", "jimeng_pill", "confirmed"), ("h", "jimeng_pill", "strict"), ("i", "kling", "confirmed")]
+
+
+def test_visible_keys(spark):
+    rows = [("Google (Gemini / Imagen)", [], None), (None, ["aigc"], "0011" + "91110108335469089C"), (None, ["aigc"], None), (None, ["samsung_genai"], None)]
+    df = spark.createDataFrame(rows, "platform string, names array<string>, producer string")
+    got = [sorted(r.k) for r in df.select(marks.visible_keys(F.col("platform"), F.col("names"), F.col("producer")).alias("k")).collect()]
+    assert got == [["gemini"], ["kling"], ["doubao", "jimeng"], ["samsung"]]
