@@ -11,6 +11,7 @@ import sys
 import tempfile
 import types
 import uuid
+import weakref
 from collections.abc import Callable
 from typing import Any
 
@@ -77,7 +78,21 @@ def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the written table."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+    path = write_shared(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize gave, once nothing reads them any more."""
+    for df in tables:
+        if (path := _paths.get(id(df))) is not None:
+            delete(df.sparkSession, path)
+
+
+_paths: dict[int, str] = {}
 
 
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
@@ -100,6 +115,17 @@ def forget_worker_state() -> None:
         home.key, home.value = None, None
 
 
+#: So many keys are sent to every task to drop rows by; more are joined by a shuffle of the rows.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows whose key is not among keys (a null key stays); long texts are not shuffled for a few keys."""
+    kept = materialize(keys.select(on).distinct(), "dropped-keys")
+    few = kept.count() <= BROADCAST_KEYS  # 8 bytes each
+    return rows.join(F.broadcast(kept) if few else kept, on, "left_anti")
+
+
 def routing_keys(spark: SparkSession, per_partition: int) -> list[int]:
     """Whole numbers of which exactly per_partition fall to every shuffle partition, when hashed as a long column.
 

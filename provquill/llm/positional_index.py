@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, small_batches, table, write_shared
+from .common import bare, forget_worker_state, small_batches, table, without, write_shared
 
 WINDOW = 13
 #: Words of a shard, and the gap between its documents.
@@ -260,5 +260,4 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Drops contaminated documents; equal (doc_id, text) rows share their verdict, a null doc_id is a value."""
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     judged = with_verdict(match(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
-    bad = judged.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(docs.columns)
+    return without(keyed, judged.where("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(docs.columns)

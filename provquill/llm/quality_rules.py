@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, materialize, table
+from .common import bare, materialize, release, table
 
 #: The statistics a condition may test, as SQL over the columns of document_statistics.
 FEATURES = {
@@ -141,6 +141,7 @@ def learn(
     cuts = {f: sorted({*(found[f"b_{f}"] or []), *(found[f"g_{f}"] or [])}) for f in FEATURES}
     binned = rows.withColumns({f"_bin_{f}": F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts[f]) or 'CAST(NULL AS double)'}), c -> c <= {f}))") for f in FEATURES})
     binned = materialize(binned.select("_bad", "_prune", *FEATURES, *[f"_bin_{f}" for f in FEATURES]), "binned-statistics")
+    release(rows)
 
     def tally(where: str) -> tuple[int, int]:
         r = binned.where(where).agg(F.expr("count_if(_bad)").alias("bad"), F.expr("count_if(NOT _bad)").alias("good")).first()
@@ -167,6 +168,7 @@ def learn(
             break
         rules.rules.append(best)
         left += f" AND NOT ({best.sql()})"
+    release(binned)
     return rules
 
 
@@ -186,10 +188,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rule or the learnt list rejects; the columns stay as they are.
 
-    A document with a null id is judged like any other, but takes no part in learning.
+    Statistics are computed once and written beside the rows; learning reads only the numbers.  A document with a
+    null id is judged like any other, but takes no part in learning.
     """
-    stats = materialize(document_statistics(bare(docs, "doc_id", "text").where("doc_id IS NOT NULL")).drop("text"), "document-statistics")
-    rules = learn(stats, table(spark, sf_dir, "labels"))
-    judged = apply_rules(document_statistics(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), "_text"), rules)
-    # The optimizer would else push the filter below the statistics and compute them again for each use.
-    return judged.withColumn("_place", F.monotonically_increasing_id()).where("kept AND _place >= 0").select("_row.*")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text").alias("_text"))
+    stats = materialize(document_statistics(keyed, "_text").drop("_text"), "rows-with-statistics")
+    rules = learn(stats.drop("_row").where("doc_id IS NOT NULL"), table(spark, sf_dir, "labels"))
+    return apply_rules(stats, rules).where("kept").select("_row.*")

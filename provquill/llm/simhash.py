@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, materialize, small_batches, table
+from .common import bare, forget_worker_state, materialize, small_batches, table, without
 from .graph import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -143,7 +143,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (one row, should that id repeat)."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    unknown = docs.where("doc_id IS NULL")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).union(unknown)
+    found = materialize(near_duplicates(docs), "near-duplicates")
+    kept = without(docs, found.where("doc_id <> component_id"), "doc_id")
+    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    return single.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
