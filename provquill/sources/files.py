@@ -33,6 +33,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES)).select("path", "length", "content")
 
 
+def read_images(spark: SparkSession, path: str) -> DataFrame:
+    """Decoded rasters (BGR) of the images under a folder, as pixel_evidence takes them; undecodable files are dropped."""
+    images = spark.read.format("image").option("dropInvalid", "true").load(path)
+    return images.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+
+
 def _late(data: bytes, head: int) -> bytes:
     """Metadata behind the head window: late PNG and RIFF chunks, and provenance boxes."""
     kind = walkers.sniff(data)

@@ -200,3 +200,9 @@ def test_visible_keys(spark):
     df = spark.createDataFrame(rows, "platform string, names array<string>, producer string")
     got = [sorted(r.k) for r in df.select(marks.visible_keys(F.col("platform"), F.col("names"), F.col("producer")).alias("k")).collect()]
     assert got == [["gemini"], ["kling"], ["doubao", "jimeng"], ["samsung"]]
+
+
+def test_images_to_pixel_evidence(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(tiny_png())
+    r = pixels.pixel_evidence(files.read_images(spark, str(tmp_path))).first()
+    assert r.path.endswith("a.png") and r.status == "complete" and r.phash is not None
