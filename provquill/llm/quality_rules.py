@@ -134,10 +134,9 @@ def learn(
     marked = bare(labels, key, label).where(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
     rows = with_features(stats.where("NOT base_failed")).select(key, *FEATURES).join(marked, key).withColumn("_bad", F.col("_label") == 0).withColumn("_prune", F.pmod(F.xxhash64(key), F.lit(3)) == 0)
     rows = materialize(rows, "labelled-statistics")
-    steps = [i / bins for i in range(bins + 1)]
-    quantiles = ", ".join(f"percentile_approx({f}, array({', '.join(map(str, steps))}), 2000) FILTER (WHERE _bad) AS b_{f}, percentile_approx({f}, array({', '.join(map(str, steps))}), 2000) FILTER (WHERE NOT _bad) AS g_{f}" for f in FEATURES)
-    found = rows.selectExpr(*[f"{f}" for f in FEATURES], "_bad").createOrReplaceTempView("_provquill_rows") or stats.sparkSession.sql(f"SELECT {quantiles} FROM _provquill_rows").first()
-    stats.sparkSession.catalog.dropTempView("_provquill_rows")
+    steps = f"array({', '.join(str(i / bins) for i in range(bins + 1))})"
+    quantiles = [f"percentile_approx({f}, {steps}, 2000) FILTER (WHERE {where}) AS {side}_{f}" for f in FEATURES for side, where in (("b", "_bad"), ("g", "NOT _bad"))]
+    found = rows.selectExpr(*quantiles).first()
     cuts = {f: sorted({*(found[f"b_{f}"] or []), *(found[f"g_{f}"] or [])}) for f in FEATURES}
     binned = rows.withColumns({f"_bin_{f}": F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in cuts[f]) or 'CAST(NULL AS double)'}), c -> c <= {f}))") for f in FEATURES})
     binned = materialize(binned.select("_bad", "_prune", *FEATURES, *[f"_bin_{f}" for f in FEATURES]), "binned-statistics")
