@@ -75,15 +75,25 @@ def canonical(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def encode_block(ids: np.ndarray, code: np.ndarray, bits: np.ndarray, step: int = CHECKPOINT) -> tuple[np.ndarray, bytes]:
-    """(checkpoints, packed bits) of ids, by tables over ids."""
-    width, value = bits[ids], code[ids]
+    """(checkpoints, packed bits) of ids, by tables over ids.
+
+    A code begins in one 32-bit word and, if it is the word's last, may end in the next; as no code is longer
+    than 16 bits, every word has a beginning, so the words are sums over runs of codes plus what spills over.
+    """
+    if not len(ids):
+        return np.zeros(0, dtype=np.int64), b""
+    width = bits[ids]
     ends = np.cumsum(width)
     starts = ends - width
-    total = int(ends[-1]) if len(ids) else 0
-    window = value << (24 - width - (starts & 7))
-    first, size = starts >> 3, (total + 7) // 8 + 3
-    packed = sum(np.bincount(first + k, weights=(window >> (16 - 8 * k)) & 255, minlength=size)[:size] for k in range(3)) if len(ids) else np.zeros(0)
-    return starts[::step], packed.astype(np.uint8).tobytes()[: (total + 7) // 8]
+    window = (code[ids] << (48 - width - (starts & 31))).view(np.uint64)
+    word = starts >> 5
+    later = np.flatnonzero(word[1:] != word[:-1]) + 1
+    sums = np.add.reduceat(window >> np.uint64(16), np.concatenate(([0], later)))
+    spill = (window[np.concatenate((later - 1, [len(ids) - 1]))] & np.uint64(0xFFFF)) << np.uint64(16)
+    packed = np.zeros(len(sums) + 1, dtype=np.uint64)
+    packed[:-1] = sums
+    packed[1:] += spill
+    return starts[::step], packed.astype(">u4").tobytes()[: (int(ends[-1]) + 7) // 8]
 
 
 def decode_block(n: int, checkpoints: np.ndarray, packed: bytes, symbols: np.ndarray, widths: np.ndarray, step: int = CHECKPOINT) -> np.ndarray:
