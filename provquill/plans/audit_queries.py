@@ -16,11 +16,12 @@ def a01_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.counts(load(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
 
 
-@query("SELECT l_returnflag, l_linestatus, year(l_shipdate)::INT AS y, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus, year(l_shipdate)::INT), (l_linestatus))")
+@query("SELECT l_returnflag, l_linestatus, coalesce(y, -1) AS y, n FROM (SELECT l_returnflag, l_linestatus, y, count(*) AS n FROM (SELECT l_returnflag, l_linestatus, year(l_shipdate)::INT AS y FROM lineitem) GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus, y), (l_linestatus)))")
 def a02_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts under several groupings in one pass."""
     load(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "year(l_shipdate) AS y").createOrReplaceTempView("provquill_lineitem")
-    return spark.sql("SELECT l_returnflag, l_linestatus, y, count(*) AS n FROM provquill_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus, y), (l_linestatus))")
+    found = spark.sql("SELECT l_returnflag, l_linestatus, y, count(*) AS n FROM provquill_lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, l_linestatus, y), (l_linestatus))")
+    return found.withColumn("y", F.coalesce("y", F.lit(-1)))
 
 
 _STATS = "count(*) AS n, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.99) AS p99, round(avg(v), 6) AS mean"

@@ -54,7 +54,7 @@ f AS (SELECT *, CASE WHEN has THEN coalesce(CASE WHEN cam THEN 'Nikon (camera, C
 
 
 @query(_EVIDENCE_SQL + """
-SELECT p_partkey, CASE WHEN c2pa_arm OR others OR job IS NOT NULL OR sam THEN true END AS is_ai_generated,
+SELECT p_partkey, CASE WHEN c2pa_arm OR others OR job IS NOT NULL OR sam THEN 'true' ELSE 'unknown' END AS is_ai_generated,
   coalesce(chain, CASE WHEN iptc THEN 'Made-with-AI tag (e.g. Meta AI); platform not specified' END, CASE WHEN fields AND sys = 'Gemini' THEN 'Gemini (IPTC AISystemUsed)' END,
     CASE WHEN aigc THEN 'China AIGC-labeled generator (TC260; e.g. Doubao)' END, CASE WHEN gen IS NOT NULL THEN gen || ' (embedded generator tag)' END, CASE WHEN xai THEN 'xAI (Grok / Aurora)' END,
     CASE WHEN job IS NOT NULL THEN 'HuggingFace-hosted job (model not identified)' END, CASE WHEN sam THEN 'Samsung Galaxy (Galaxy AI editing)' END) AS platform,
@@ -67,7 +67,7 @@ FROM f""")
 def p40_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict assembly (P09-P14, P22, P23, P36, P40, P41, F27) over planted evidence of every part."""
     v = verdict.verdicts(planted_evidence(spark, sf_dir))
-    return v.select("p_partkey", "is_ai_generated", "platform", "confidence", "ai_source_kind", F.array_join(F.transform("signals", lambda s: F.concat(s["name"], F.lit(":"), s["confidence"])), ",").alias("signals"))
+    return v.select("p_partkey", F.when(F.col("is_ai_generated"), "true").otherwise("unknown").alias("is_ai_generated"), "platform", "confidence", "ai_source_kind", F.array_join(F.transform("signals", lambda s: F.concat(s["name"], F.lit(":"), s["confidence"])), ",").alias("signals"))
 
 
 @query(_EVIDENCE_SQL + """
@@ -166,14 +166,14 @@ def p27_signature_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", P.xai_pair(description, artist).alias("paired"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'parameters' WHEN 1 THEN 'Title' WHEN 2 THEN 'my_openai_id' ELSE 'Comment' END AS k, c_custkey % 4 IN (0, 2) OR c_custkey % 8 = 3 AS kept, CASE WHEN c_custkey % 4 IN (0, 2) OR c_custkey % 8 = 3 THEN least(201, CASE WHEN c_custkey % 8 = 3 THEN 10 ELSE 250 END) END AS chars FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'parameters' WHEN 1 THEN 'Title' WHEN 2 THEN 'my_openai_id' ELSE 'Comment' END AS k, c_custkey % 4 IN (0, 2) OR c_custkey % 8 = 3 AS kept, CAST(CASE WHEN c_custkey % 4 IN (0, 2) OR c_custkey % 8 = 3 THEN least(201, CASE WHEN c_custkey % 8 = 3 THEN 10 ELSE 250 END) ELSE -1 END AS BIGINT) AS chars FROM customer")
 def p05_metadata_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AI metadata map (P03-P05, S41): key and value predicates, values cut at 200 characters."""
     k = F.col("c_custkey")
     key = F.when(k % 4 == 0, "parameters").when(k % 4 == 1, "Title").when(k % 4 == 2, "my_openai_id").otherwise("Comment")
     value = F.when(k % 8 == 3, "Midjourney").otherwise(F.repeat(F.lit("x"), 250))
     kept = P.ai_metadata(F.create_map(key, value))
-    return load(spark, sf_dir, "customer").select("c_custkey", key.alias("k"), (F.size(kept) > 0).alias("kept"), F.length(kept[key]).cast("long").alias("chars"))
+    return load(spark, sf_dir, "customer").select("c_custkey", key.alias("k"), (F.size(kept) > 0).alias("kept"), F.coalesce(F.length(kept[key]), F.lit(-1)).cast("long").alias("chars"))
 
 
 _STORE = """concat('{"active_manifest":"m', n_nationkey, '","validation_state":"Valid","validation_results":{"activeManifest":{"success":[{"code":"claimSignature.validated"},{"code":"assertion.dataHash.match"}',
@@ -265,7 +265,7 @@ def p33_cbor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", P.cbor_text_after(buf, "claim_generator").alias("generator"))
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN true END AS is_ai, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'OpenAI' END, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 = 0 THEN 'veo' ELSE 'kling' END END) AS platform,
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 'true' ELSE 'unknown' END AS is_ai, coalesce(CASE WHEN p_partkey % 3 = 0 THEN 'OpenAI' END, CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_partkey % 8 = 0 THEN 'veo' ELSE 'kling' END END) AS platform,
  CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 0 THEN 'high' ELSE 'unknown' END AS confidence FROM part""")
 def p48_video_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Video verdicts from markers and the first stable mark."""
@@ -274,7 +274,7 @@ def p48_video_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     v = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.when(k % 3 == 0, F.array(F.lit("Made with Sora"))).otherwise(F.array().cast("array<string>")).alias("markers"))
     s = load(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(k.cast("string").alias("path"), F.explode(F.when(k % 8 == 0, F.array(F.lit("kling"), F.lit("veo"))).otherwise(F.array(F.lit("kling")))).alias("mark"))
-    return video_verdicts(v, s).select("path", F.col("is_ai_generated").alias("is_ai"), "platform", "confidence")
+    return video_verdicts(v, s).select("path", F.when(F.col("is_ai_generated"), "true").otherwise("unknown").alias("is_ai"), "platform", "confidence")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'OpenAI|Adobe' AS issuers, 'a0|b' || (p_partkey % 3) AS generators FROM part WHERE p_partkey % 10 = 0")

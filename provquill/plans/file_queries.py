@@ -41,11 +41,11 @@ def s19_container_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("path", "container", F.size("entries").cast("long").alias("entries"))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 IN (0, 2) THEN true END AS is_ai, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'high' ELSE 'none' END AS confidence, CASE p_partkey % 5 WHEN 0 THEN 'gen_params' WHEN 2 THEN 'exif_generator' ELSE '' END AS signals FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'true' ELSE 'unknown' END AS is_ai, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'high' ELSE 'none' END AS confidence, CASE p_partkey % 5 WHEN 0 THEN 'gen_params' WHEN 2 THEN 'exif_generator' ELSE '' END AS signals FROM part")
 def p32_file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files to verdicts."""
     v = verdicts(files.evidence(files.walk(spelled_files(spark, sf_dir))), "region")
-    return v.select("path", F.col("is_ai_generated").alias("is_ai"), "confidence", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"))
+    return v.select("path", F.when(F.col("is_ai_generated"), "true").otherwise("unknown").alias("is_ai"), "confidence", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"))
 
 
 @query("SELECT 'same' AS state, count(*) AS n FROM part")
