@@ -171,3 +171,16 @@ def test_line_dedup_query_and_stage(spark, awkward, nothing):
     assert out.columns == awkward.columns and out.count() == awkward.count() and line_dedup.line_dedup_stage(spark, nothing, sf).count() == 0
     assert out.where("doc_id = 10").first().text == ""  # one edit from the first line of document 1
     assert out.where(F.col("doc_id") == 3).first().text is None
+
+
+def test_line_dedup_stage_judges_each_row_by_itself(spark):
+    """Rows without an id, and rows that share one, lose their own repeated lines and no others."""
+    x, u, v, w = (f"line {c * 20} of the test" for c in "xuvw")
+    fill = [f"{k}: {c * 30}" for k, c in enumerate("abcdefghijklmnop")]
+    rows = [
+        (None, "\n".join([x, *fill[:4], u])), (None, "\n".join([*fill[4:9], x])), (None, "\n".join([*fill[9:13], v, x])),
+        (7, "\n".join([x, w])), (7, "\n".join([fill[13], x])), (8, "\n".join([fill[14], w])), (9, fill[15]), (9, fill[15]),
+    ]
+    out = line_dedup.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    got = collections.Counter(line for r in out for line in r.text.split("\n") if line)
+    assert len(out) == len(rows) and got == collections.Counter({line: 1 for line in [x, u, v, w, *fill]})
