@@ -13,6 +13,13 @@ their square, and no link between different fingerprints is lost to the componen
 Defined results: null and empty texts have no words, fingerprint zero, and are linked like any other; repeated
 rows and copies share a fingerprint and so a component; rows with a null doc_id are left out; an empty table
 gives an empty one; columns beside doc_id and text are ignored, whatever their names.
+
+The pipeline's stage asks for another thing: texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more.  Fingerprints of such texts differ in about ten of 64 bits, too many for segments to select by, so
+the stage finds candidates by min-hash bands (24 of 4: a pair at 0.8 is missed with a probability of 4e-6) and
+verifies every link on the whole shingle sets.  Equal sets are one from the start.  Each member of a band key is
+first held against the smallest one; only what these links leave in different components is compared further.
+A text of fewer than five words is one shingle; texts without words are one set.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, materialize, small_batches, table, without
+from .common import bare, forget_worker_state, materialize, release, small_batches, table, without
 from .graph import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -33,6 +40,9 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: From so many members of one key on, the key is refined instead of joined with itself.
 HOT_KEY = 512
 
+#: The stage's shingle size, its bands of min-hashes, and the least similarity of a link as a fraction.
+SHINGLE, BANDS, BAND_ROWS, SIMILAR = 5, 24, 4, (4, 5)
+
 
 def fingerprint_of(texts: list[str | None], shingle: int = 3, seed: int = 42) -> np.ndarray:
     """The 64-bit fingerprints of whole texts, as unsigned integers."""
@@ -141,9 +151,112 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).selectExpr("doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; words are those of the fingerprint."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k : k + shingle]), seed) for k in range(max(1, len(words) - shingle + 1))], dtype=np.uint64))
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of BANDS keys for every set; the sets have to be non-empty."""
+    flat = np.concatenate(sets)
+    sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    starts = np.cumsum(sizes) - sizes
+    r = np.random.default_rng(42)
+    salts, factors = r.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    out = np.zeros((len(sets), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, dtype=np.uint64)
+        for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+            mixed = (flat ^ salts[k]) * (factors[k] | np.uint64(1))
+            mixed ^= mixed >> np.uint64(32)
+            least = np.minimum.reduceat(mixed * np.uint64(0xD6E8FEB86659FD93), starts)
+            key = (key ^ least) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, band] = key
+    return out
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, set, n, keys, shingles): set is the hash of a text's shingle set, n its size, shingles its sorted hashes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker_state()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                full = [x for x in sets if len(x)]
+                keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
+                raw = [x.tobytes() for x in sets]
+                ids = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], dtype=np.uint64).view(np.int64)
+                columns = [part.column(0), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n", "keys", "shingles"])
+
+    return bare(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, set long, n long, keys array<long>, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is SIMILAR or more, counted on the whole sets."""
+    over, under = SIMILAR
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "wanted-sets")
+    texts = materialize(sets.select("set", "shingles").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "shingle-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
+                union = len(np.unique(both))
+                ok.append(under * (len(both) - union) >= over * union)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in range(2)], names=["a", "b"])
+
+    both = pairs.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
+    found = materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "similar-sets")
+    release(wanted, texts)
+    return found
+
+
+def similar_links(known: DataFrame) -> DataFrame:
+    """(a, b): verified links between distinct sets that join all which the verified pairs of a band key join."""
+    over, under = SIMILAR
+    fit = f"{under} * least(m, n) >= {over} * greatest(m, n)"
+    distinct = known.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    entries = distinct.select("set", "n", F.explode("keys").alias("key"))
+    pivots = entries.groupBy("key").agg(F.min(F.struct("set", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    members = materialize(entries.join(pivots, "key").select("key", "set", "n", F.col("p.set").alias("pivot"), F.col("p.n").alias("m")), "band-members")
+    stars = similar(materialize(members.where(f"set <> pivot AND {fit}").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), "star-pairs"), known)
+    reached = components(stars).select(F.col("node").alias("set"), "component")
+    placed = materialize(members.join(reached, "set", "left").select("key", "set", "n", "pivot", F.coalesce("component", "set").alias("component")), "placed-members")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    # A pivot has met all members; the others of different components have not met.
+    rest = materialize(placed.where("set <> pivot").join(open_keys, "key", "left_semi"), "open-members")
+    left = rest.select("key", F.col("set").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
+    right = rest.select("key", F.col("set").alias("b"), "n", F.col("component").alias("cb"))
+    pairs = materialize(left.join(right, "key").where(f"a < b AND ca <> cb AND {fit}").select("a", "b").distinct(), "open-pairs")
+    found = stars.union(similar(pairs, known))
+    release(members, placed, rest)
+    return found
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id that a chain of texts with similar shingle sets reaches."""
+    known = materialize(shingle_sets(docs), "shingle-sets")
+    reached = components(similar_links(known)).select(F.col("node").alias("set"), "component")
+    rooted = known.select("doc_id", "set").join(reached, "set", "left").select("doc_id", F.coalesce("component", "set").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = materialize(rooted.join(least, "root").select("doc_id", "component_id"), "near-copies")
+    release(known)
+    return out
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (one row, should that id repeat)."""
-    found = materialize(near_duplicates(docs), "near-duplicates")
+    found = near_copies(docs)
     kept = without(docs, found.where("doc_id <> component_id"), "doc_id")
     repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():

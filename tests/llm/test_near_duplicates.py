@@ -184,3 +184,34 @@ def test_line_dedup_stage_judges_each_row_by_itself(spark):
     out = line_dedup.line_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     got = collections.Counter(line for r in out for line in r.text.split("\n") if line)
     assert len(out) == len(rows) and got == collections.Counter({line: 1 for line in [x, u, v, w, *fill]})
+
+
+def test_stage_links_what_all_pairs_of_five_word_sets_link(spark):
+    """Near copies at 0.8 or more go, those below stay; a crowd of copies, chains and short texts among them."""
+    r = random.Random(5)
+    prose = lambda n: [f"w{r.randint(0, 9999)}" for _ in range(n)]
+    texts = ["", "One two", "one TWO", "one two three four five", "one two three four six"]
+    for base in (prose(60), prose(150), prose(400)):
+        for edits_made in (0, 1, 2, 4, 6, 9, 12, 20):
+            words = list(base)
+            for k in r.sample(range(len(words)), edits_made):
+                words[k] = "changed"
+            texts.append(" ".join(words))
+    crowd = prose(200)
+    texts += [" ".join(crowd[:k] + ["x" + str(k)] + crowd[k:]) for k in range(0, 200, 3)] + [" ".join(prose(80)) for _ in range(20)]
+    r.shuffle(texts)
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    want = Sets()
+    linked = 0
+    for i, a in enumerate(sets):
+        want.find(i)
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                want.join(i, j)
+                linked += a != sets[j]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.simhash_stage(spark, docs, "").collect()}
+    assert linked > 1000 and kept == {i for i in range(len(texts)) if want.find(i) == i}
