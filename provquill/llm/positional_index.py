@@ -8,7 +8,8 @@ intersected at their offsets, from the rarest term on, so lists of common words
 The index stores the postings of a given vocabulary (the test terms) or, on request, of all terms.
 
 Defined results: null texts and texts without words have no words and no hits; an item without words has no
-window; repeated rows are judged each; repeated item_ids count once; very long texts are shards of their own;
+window; windows of items with a null item_id count as hits, but such items are in no list of items; repeated
+rows are judged each; repeated item_ids count once; very long texts are shards of their own;
 an empty table gives an empty one, an empty benchmark no hits; further columns are ignored, whatever their names.
 """
 
@@ -113,11 +114,11 @@ def build_index(docs: DataFrame, vocabulary: set[bytes] | None = None, shard_wor
 class WindowSearch:
     """The distinct windows of a block of items, looked up in one shard's postings."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW, slop: int = SLOP) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW, slop: int = SLOP) -> None:
         owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for item, text in items:
             for window in windows_of(words_of(text), size):
-                owners[window].add(item)
+                owners[window].update(() if item is None else (item,))
         self.terms = {w: k for k, w in enumerate(sorted({w for window in owners for w in window}))}
         self.slop = slop
         self.groups = []
@@ -151,7 +152,7 @@ class WindowSearch:
                     yield (exact if len(near) else near), length, owners[w], near
 
 
-def search(index: DataFrame, items: list[tuple[str, str | None]], size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+def search(index: DataFrame, items: list[tuple[str | None, str | None]], size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document of the index: the merged ranges of words inside exact matches, and the items that match."""
     searched = WindowSearch(items, size, slop)
     if not searched.terms:
@@ -213,11 +214,11 @@ def _merge_blocks(found: DataFrame) -> DataFrame:
     return grouped.withColumn("m", F.expr(fold)).select("shard", "place", "doc_id", "n_words", F.col("m.f").alias("hit_from"), F.col("m.t").alias("hit_to"), "items", F.expr("array_except(near_items, items)").alias("near_items"))
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in blocks of bounded size, in the order of their ids; one block is on the driver at a time."""
-    block: list[tuple[str, str | None]] = []
+    block: list[tuple[str | None, str | None]] = []
     size = 0
-    for r in bare(benchmark, "item_id", "text").where("item_id IS NOT NULL").selectExpr("cast(item_id AS string) AS item", "text").orderBy("item", "text").toLocalIterator():
+    for r in bare(benchmark, "item_id", "text").selectExpr("cast(item_id AS string) AS item", "text").orderBy("item", "text").toLocalIterator():
         block.append((r.item, r.text))
         size += len(r.text or "") + 64
         if size >= block_chars:

@@ -219,3 +219,12 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert sizes[0][0] < docs.count() and sizes[1][0] == sizes[0][0] and sizes[1][1] < sizes[0][1] and sizes[2][0] <= sizes[1][0] and sizes[3][0] < sizes[2][0]
     rows = kept.collect()
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), dict(zip([d.doc_id for d in rows], ids_of(WORD, [d.text for d in rows], 2), strict=True)), 0.05)
+
+
+def test_items_without_an_id_count_as_hits(spark):
+    passage = " ".join(f"p{k}" for k in range(13))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), ("a", "quite other words")], "item_id string, text string")
+    for block_chars in (1, 8_000_000):
+        got = {r.doc_id: r for r in positional_index.with_verdict(positional_index.match(docs, items, block_chars=block_chars)).collect()}
+        assert (got[1].n_hit, got[1].contaminated, got[1].n_items, got[1]["items"]) == (13, True, 0, []) and got[2].n_hit == 0
