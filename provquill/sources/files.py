@@ -56,7 +56,7 @@ def walk(files: DataFrame, head: int = HEAD) -> DataFrame:
 
     def entries(data: bytes, kind: str) -> list[dict]:
         found = {"png": walkers.png_chunks, "jpeg": walkers.jpeg_segments, "isobmff": walkers.iso_boxes, "ebml": walkers.ebml_elements}.get(kind, walkers.riff_chunks if kind in ("webp", "avi", "riff", "wav") else lambda _: ())
-        return [{"kind": k, "offset": at, "size": n} for k, at, n, _ in found(data)][:10_000]
+        return [{"kind": k, "offset": at, "size": n} for k, at, n, _ in found(data)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,7 +57,7 @@ def forensic_records(files: DataFrame, version: int = 1, whole_most: int = 256 <
                 record: dict = {"schema_version": 1, "container": kind, "length": len(data), "sha256": hashlib.sha256(data).hexdigest(), "head_only": len(head) < len(data), "error": None}
                 try:
                     walk = {"png": walkers.png_chunks, "jpeg": walkers.jpeg_segments, "webp": walkers.riff_chunks, "avi": walkers.riff_chunks, "isobmff": walkers.iso_boxes, "ebml": walkers.ebml_elements}.get(kind)
-                    record["entries"] = [[k, at, n] for k, at, n, _ in walk(head)][:10_000] if walk else []
+                    record["entries"] = [[k, at, n] for k, at, n, _ in walk(head)] if walk else []
                     record |= {"text": walkers.metadata_pairs(head), "exif": walkers.exif_of(head), "jpeg": walkers.jpeg_tables(head) if kind == "jpeg" else None, "trailer_bytes": len(walkers.trailer(head))}
                 except Exception as e:  # one file's fault is that file's
                     record["error"] = type(e).__name__

@@ -96,3 +96,17 @@ def test_truncation_and_noise_never_raise(kind):
                 b[r.randrange(len(b))] = r.randrange(256)
         for f in (W.metadata_region, W.metadata_pairs, W.exif_of, W.tc260_payloads, W.trailer, W.jpeg_tables, W.sniff):
             f(bytes(b))
+
+
+def test_inventories_keep_every_entry(spark):
+    import json
+    import struct
+    import zlib
+
+    from provquill.sources import files, sinks
+
+    chunk = lambda kind: struct.pack(">I", 0) + kind + struct.pack(">I", zlib.crc32(kind))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"tEXt") * 10_049 + chunk(b"IEND")
+    df = spark.createDataFrame([("a.png", data)], "path string, content binary")
+    assert files.walk(df).selectExpr("size(entries) AS n").first().n == 10_050
+    assert len(json.loads(sinks.forensic_records(df).first().record)["entries"]) == 10_050
