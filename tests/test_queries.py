@@ -30,3 +30,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(plans.oracle_sql()) <= set(e.queries())
+
+
+def test_store_edges_of_every_part(spark, sf_dir):
+    from provquill import plans
+
+    rows = plans.queries()["j01_store_edges"](spark, sf_dir).collect()
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert {r.path for r in rows} == {str(r.p_partkey) for r in part.select("p_partkey").collect()} and {r.nodes for r in rows} == {"a|b"}
