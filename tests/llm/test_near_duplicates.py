@@ -123,46 +123,91 @@ def test_banded_distance():
             assert line_dedup.within(a, b, d) == (edits(a, b) <= d)
 
 
-def plain_lines(rows, distance=2, least=16):
-    """doc_id -> [(line_no, class_id, class_line, n_links, kept)]."""
+def plain_lines(rows, relation):
+    """By place in rows: [(line_no, class_id, class_line, n_links, kept)]; ids are ascending, or the rows in the order of their numbers."""
     first, seen = {}, []
-    for i, t in rows:
+    for place, (i, t) in enumerate(rows):
         for k, line in enumerate((t or "").split("\n")):
-            if len(line) >= least and not line.isspace():
-                first[line] = min(first.get(line, (i, k)), (i, k))
-                seen.append((i, k, line))
+            if line.split():
+                first[line] = min(first.get(line, (place, k, i)), (place, k, i))
+                seen.append((place, k, line))
     near = collections.defaultdict(list)
     lines = sorted(first)
+    words = {x: len(x.split()) for x in lines}
+    most = max([relation.distance, *(t for _, t in relation.bands[1])])
     for x, a in enumerate(lines):
         for b in lines[:x]:
-            if abs(len(a) - len(b)) <= distance and line_dedup.within(a, b, distance):
+            if (abs(words[a] - words[b]) <= most or abs(len(a) - len(b)) <= most) and relation.linked(a, b):
                 near[a].append(b)
                 near[b].append(a)
-    out = collections.defaultdict(list)
-    for i, k, line in seen:
+    out = {k: [] for k in range(len(rows))}
+    for place, k, line in seen:
         c = min([first[line], *(first[m] for m in near[line])])
-        out[i].append((k, *c, len(near[line]), c == (i, k)))
-    return {i: sorted(v) for i, v in out.items()}
+        out[place].append((k, c[2], c[1], len(near[line]), c[:2] == (place, k)))
+    return out
 
 
-@pytest.mark.parametrize("hot_pairs", [4, 2_000_000])
-@pytest.mark.parametrize("distance", [1, 2])
+def judged(df, relation, hot_pairs=line_dedup.HOT_PAIRS):
+    return {r.doc_id: [tuple(v) for v in r.lines] for r in line_dedup.dedup_lines(df, relation, hot_pairs).collect()}
+
+
+@pytest.mark.parametrize("hot_pairs", [4, 60, 2_000_000])
+@pytest.mark.parametrize("distance", [1, 2, 3])
 def test_line_dedup_finds_all_near_lines(spark, hot_pairs, distance):
+    """Edits of code points: stems with many near copies, lines that share a beginning, an end, or both."""
     r = random.Random(11)
     stems = ["".join(r.choices("abcdefgh é中", k=r.randint(16, 60))).strip() + "xxxxxxxxxxxxxxxx" for _ in range(12)]
     shared = "a boilerplate beginning that very many lines share, number "
-    rows = [(d, "\n".join([edited(r, r.choice(stems), r.randint(0, 2)) for _ in range(4)] + [shared + str(r.randint(0, 400)), "short", "   "])) for d in range(60)]
-    got = line_dedup.by_document(line_dedup.judged_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance, 16, hot_pairs)).collect()
-    assert {x.id: [tuple(v) for v in x.lines] for x in got} == plain_lines(rows, distance)
+    rows = [(d, "\n".join([edited(r, r.choice(stems), r.randint(0, 2)) for _ in range(4)] + [shared + str(r.randint(0, 400)), f"{r.randint(0, 90)} <- {shared}", "short", "   ", shared[:20] + str(r.randint(0, 90)) + shared[20:]])) for d in range(60)]
+    relation = line_dedup.Relation(distance, 16, 99, ())
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs) == plain_lines(rows, relation)
+
+
+@pytest.mark.parametrize("hot_pairs", [4, 2_000_000])
+def test_line_dedup_compares_long_lines_by_words(spark, hot_pairs):
+    """Edits of words, more of them in longer lines, lines about the bounds of the bands, and short ones beside them."""
+    r = random.Random(12)
+    stems = [[r.choice(["lo", "rem", "ipsum", "dolor", "sit"]) + str(r.randint(0, 30)) for _ in range(r.choice([7, 9, 10, 11, 19, 20, 21, 39, 40, 41, 70]))] for _ in range(14)]
+
+    def changed(stem):
+        words = list(stem)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], [words[at], "new"], [str(r.randint(0, 3))], [words[at] + "s"]])
+        return r.choice([" ", " ", "  "]).join(words)
+
+    rows = [(d, "\n".join(changed(r.choice(stems)) for _ in range(6))) for d in range(70)]
+    relation = line_dedup.Relation(2, 16, 10, ((10, 1), (20, 2), (40, 4)))
+    want = plain_lines(rows, relation)
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs) == want
+    assert sum(v[3] for x in want.values() for v in x) > 500
+
+
+def test_lines_that_share_a_beginning_or_an_end(spark):
+    """No pair of them is enumerated but those that the rest of the lines joins."""
+    r = random.Random(13)
+    tail = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=40))
+    begin = "https://example.org/a/shared/path/of/40?"
+    lines = [begin + tail() for _ in range(4000)] + [tail() + begin[::-1] for _ in range(4000)]
+    lines += [lines[5][:-1] + "#", lines[5000][:3] + lines[5000][4:]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(4)
+    relation = line_dedup.Relation()
+    buckets = np.array(line_dedup.routing_keys(spark, 4), dtype=np.int64)
+    found = line_dedup.matched(line_dedup.signed_lines(df, buckets, relation), 100_000).cache()
+    cold, hot = found.where("NOT hot"), found.where("hot").selectExpr("key", "a AS h1", "b AS role")
+    pairs = cold.select("a", "b").union(line_dedup._hot_pairs_of(hot, df, buckets, relation, 100_000)).count()
+    assert hot.count() >= 8000 and pairs < 8000
+    assert line_dedup.linked_lines(df, relation, 100_000).count() == 2
 
 
 def test_line_dedup_query_and_stage(spark, awkward, nothing):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = plain_lines(rows)
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    want = {rows[k][0]: v for k, v in plain_lines(rows, line_dedup.Relation()).items()}
     got = {r.doc_id: r for r in llm.queries()["op1_line_dedup"](spark, sf).collect()}
-    assert {i: [tuple(v) for v in r.lines] for i, r in got.items() if r.lines} == want and len(got) == len(rows)
+    assert {i: [tuple(v) for v in r.lines] for i, r in got.items()} == want
+    assert all(r.n_removed == sum(not v.kept for v in r.lines) and r.n_links == sum(v.n_links for v in r.lines) for r in got.values())
     gone = {i: {v[0] for v in x if not v[4]} for i, x in want.items()}
     stage = line_dedup.line_dedup_stage(spark, docs, sf)
     assert stage.columns == docs.columns
@@ -171,6 +216,10 @@ def test_line_dedup_query_and_stage(spark, awkward, nothing):
     assert out.columns == awkward.columns and out.count() == awkward.count() and line_dedup.line_dedup_stage(spark, nothing, sf).count() == 0
     assert out.where("doc_id = 10").first().text == ""  # one edit from the first line of document 1
     assert out.where(F.col("doc_id") == 3).first().text is None
+    every = line_dedup.dedup_lines(awkward).collect()
+    assert len(every) == awkward.count() and line_dedup.dedup_lines(nothing).count() == 0
+    assert sorted([v.kept for v in r.lines] for r in every if r.doc_id == 2) == [[False, False], [False, False]]
+    assert [[v.kept for v in r.lines] for r in every if r.doc_id is None] == [[True]]
 
 
 def test_line_dedup_stage_judges_each_row_by_itself(spark):
