@@ -32,15 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
-    """Bound what one Arrow batch holds, so that a run of long texts does not fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """Bound what one Arrow batch holds, so that a run of long texts does not fill a worker.
+
+    The settings are read when a frame runs, after the operator has returned, so they stay; settings that the
+    session's owner has made are left alone.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if spark.sparkContext.getConf().get(key) is None:
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; read from the session, made up only if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="provquill-shared-")
         spark.sparkContext.setCheckpointDir(configured)
         configured = spark.sparkContext.getCheckpointDir()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .spans import Span, clear_of, count_of, find_spans, joined
+from .spans import Span, Taken, count_of, find_spans, joined
 
 KINDS = ("email", "ip", "card", "phone", "account", "address")
 
@@ -103,7 +103,7 @@ def make_finder() -> Callable[[str], list[Span]]:
                     while start > read["ip"] and text[start - 1] in _DIGITS:
                         start -= 1
                     if m := ip.match(text, start):
-                        if all(len(p.lstrip("0")) <= 3 and int(p) <= IP_MOST for p in m.group().split(".")):
+                        if all(len(p) <= 3 and int(p or 0) <= IP_MOST for p in (x.lstrip("0") for x in m.group().split("."))):
                             out.append(("ip", start, m.end()))
                         read["ip"] = m.end()
             elif kind == "card":
@@ -130,7 +130,8 @@ def make_finder() -> Callable[[str], list[Span]]:
                 m = link.match(text, last + 1)
                 if m and (m["user"] or personal.search(m["path"] or "")):
                     wide.append(("address", at, m.end()))
-        return out + [s for s in wide if clear_of(s[1:], out)]
+        base = Taken(out)
+        return out + [s for s in wide if base.clear(s[1], s[2])]
 
     return find
 

@@ -259,6 +259,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated documents; equal (doc_id, text) rows share their verdict, a null doc_id is a value."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    judged = with_verdict(match(keyed.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
-    return without(keyed, judged.where("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(docs.columns)
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_key"))
+    judged = with_verdict(match(keyed.select(F.col("_key").alias("doc_id"), "_row.text"), table(spark, sf_dir, "benchmark")))
+    return without(keyed, judged.where("contaminated").select(F.col("doc_id").alias("_key")), "_key").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

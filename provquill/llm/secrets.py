@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bare, table
-from .spans import Span, clear_of, count_of, find_spans, joined
+from .spans import Span, Taken, count_of, find_spans, joined
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -37,6 +37,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 
+#: Nats per character by which a run has to look more random than an identifier: on strings that the models have not seen it keeps 0.99 of the random ones and none of the identifiers.
+MARGIN = 0.3
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _CLASS = {c: i for i, c in enumerate(_ALPHABET)}
@@ -97,7 +99,7 @@ def base_spans(text: str, assign: re.Pattern, access: re.Pattern, hexadecimal: r
     return out + [("hex", m.start(), m.end()) for m in hexadecimal.finditer(text)]
 
 
-def make_finder(models: MarkovPair | None, margin: float = 0.6) -> Callable[[], Callable[[str], list[Span]]]:
+def make_finder(models: MarkovPair | None, margin: float = MARGIN) -> Callable[[], Callable[[str], list[Span]]]:
     """A builder of the search function.  Runs of 16 or more hex digits are maximal runs, as the base pattern has them."""
 
     def build() -> Callable[[str], list[Span]]:
@@ -106,9 +108,9 @@ def make_finder(models: MarkovPair | None, margin: float = 0.6) -> Callable[[],
         def find(text: str) -> list[Span]:
             found = base_spans(text, assign, access, hexadecimal)
             if models is not None:
-                base = list(found)
+                base = Taken(found)
                 for m in candidate.finditer(text):
-                    if clear_of(m.span(), base) and models.score(m.group()) >= margin:
+                    if base.clear(*m.span()) and models.score(m.group()) >= margin:
                         found.append(("random", m.start(), m.end()))
             return found
 
@@ -117,7 +119,7 @@ def make_finder(models: MarkovPair | None, margin: float = 0.6) -> Callable[[],
     return build
 
 
-def find_secrets(docs: DataFrame, models: MarkovPair | None, margin: float = 0.6) -> DataFrame:
+def find_secrets(docs: DataFrame, models: MarkovPair | None, margin: float = MARGIN) -> DataFrame:
     """(doc_id, spans) with the base kinds and, given models, kind random."""
     return find_spans(docs, make_finder(models, margin))
 

@@ -11,8 +11,9 @@ key are within the distance, so each is linked to the smallest of them: rows gro
 their square, and no link between different fingerprints is lost to the components.
 
 Defined results: null and empty texts have no words, fingerprint zero, and are linked like any other; repeated
-rows and copies share a fingerprint and so a component; rows with a null doc_id are left out; an empty table
-gives an empty one; columns beside doc_id and text are ignored, whatever their names.
+rows and copies share a fingerprint and so a component; a row with a null doc_id links like any other and names
+no component (its component_id is null if no row with an id is reached); an empty table gives an empty one;
+columns beside doc_id and text are ignored, whatever their names.
 
 The pipeline's stage asks for another thing: texts whose sets of five-word shingles have a Jaccard similarity of
 0.8 or more.  Fingerprints of such texts differ in about ten of 64 bits, too many for segments to select by, so
@@ -96,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             found = fingerprint_of(batch.column(1).to_pylist(), shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return bare(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, fp long")
+    return bare(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _variants(fps: DataFrame, half: int) -> DataFrame:
@@ -180,24 +181,24 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set, n, keys, shingles): set is the hash of a text's shingle set, n its size, shingles its sorted hashes."""
-    small_batches(docs.sparkSession)
+def shingle_sets(rows: DataFrame) -> DataFrame:
+    """(row_no, doc_id, set, n, keys, shingles): set is the hash of a text's shingle set, n its size, shingles its sorted hashes."""
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_worker_state()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t) for t in part.column(2).to_pylist()]
                 full = [x for x in sets if len(x)]
                 keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
                 raw = [x.tobytes() for x in sets]
                 ids = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], dtype=np.uint64).view(np.int64)
-                columns = [part.column(0), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set", "n", "keys", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "set", "n", "keys", "shingles"])
 
-    return bare(docs, "doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, set long, n long, keys array<long>, shingles binary")
+    return rows.mapInArrow(run, "row_no long, doc_id long, set long, n long, keys array<long>, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,23 +244,22 @@ def similar_links(known: DataFrame) -> DataFrame:
     return found
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that a chain of texts with similar shingle sets reaches."""
-    known = materialize(shingle_sets(docs), "shingle-sets")
+def near_copies(rows: DataFrame) -> DataFrame:
+    """(row_no, first) of stored (row_no, doc_id, text): the first row that a chain of texts with similar shingle sets reaches.
+
+    Rows are in the order of doc_id, those without one last, then of row_no.
+    """
+    known = materialize(shingle_sets(rows), "shingle-sets")
     reached = components(similar_links(known)).select(F.col("node").alias("set"), "component")
-    rooted = known.select("doc_id", "set").join(reached, "set", "left").select("doc_id", F.coalesce("component", "set").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = materialize(rooted.join(least, "root").select("doc_id", "component_id"), "near-copies")
+    rooted = known.select("row_no", "doc_id", "set").join(reached, "set", "left").select("row_no", "doc_id", F.coalesce("component", "set").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "row_no")).alias("first"))
+    out = materialize(rooted.join(least, "root").select("row_no", F.col("first.row_no").alias("first")), "near-copies")
     release(known)
     return out
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (one row, should that id repeat)."""
-    found = near_copies(docs)
-    kept = without(docs, found.where("doc_id <> component_id"), "doc_id")
-    repeated = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    if repeated.isEmpty():
-        return kept.select(docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    """One row of each component stays: the one with the smallest doc_id (of rows that repeat it or have none: the first by row number)."""
+    keyed = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("row_no")), "numbered-rows")
+    found = near_copies(keyed.select("row_no", "_row.doc_id", "_row.text"))
+    return without(keyed, found.where("row_no <> first").select("row_no"), "row_no").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

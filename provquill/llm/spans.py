@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,5 +44,19 @@ def count_of(spans: str, kind: str) -> Column:
     return F.expr(f"cast(size(filter({spans}, s -> s.kind = '{kind}')) AS bigint)")
 
 
-def clear_of(span: tuple[int, int], taken: list[Span]) -> bool:
-    return all(span[1] <= s or e <= span[0] for _, s, e in taken)
+class Taken:
+    """What spans cover, as disjoint ranges in order; clear() looks a range up by bisection."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def clear(self, start: int, end: int) -> bool:
+        after = bisect_right(self.ends, start)  # the first range that ends behind the start
+        return after == len(self.starts) or end <= self.starts[after]

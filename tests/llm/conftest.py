@@ -17,7 +17,7 @@ def awkward(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(AWKWARD, "doc_id long, text string")
-    clash = ["fp", "rank", "part", "row", "_t", "_w", "kept", "id", "shard", "spans", "score", "line_no", "key"]
+    clash = ["fp", "rank", "part", "row", "_t", "_w", "kept", "id", "shard", "spans", "score", "line_no", "key", "_key", "_row", "row_no", "_text"]
     return df.withColumns({c: F.lit("clash") for c in clash}).withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
 
 

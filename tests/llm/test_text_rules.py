@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import importlib
 import random
 import re
+import string
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +17,7 @@ import pytest
 from provquill import llm
 from provquill.llm import pii, quality_rules, secrets, toxicity
 from provquill.llm.common import table
+from provquill.llm.spans import Taken
 
 
 def base_stats(t):
@@ -111,6 +115,43 @@ def test_method_spans():
     assert [(k, s) for k, s, _ in spans] == [("random", 2)]
 
 
+def test_markov_models_on_strings_that_they_have_not_seen():
+    """Random strings of other seeds and lengths are found, identifiers of other libraries are not."""
+    models = secrets.MarkovPair(secrets.random_samples(), known := secrets.library_identifiers())
+    find = secrets.make_finder(models)()
+    names: set[str] = set()
+    for module in ("asyncio", "ssl", "decimal", "ctypes", "multiprocessing", "typing", "inspect", "ast", "tarfile", "datetime", "locale", "numpy", "pandas", "pyarrow", "pyspark"):
+        for name, value in vars(importlib.import_module(module)).items():
+            names |= {name, *(dir(value) if isinstance(value, type) else ())}
+    names = {n for n in names - set(known) if re.fullmatch(secrets.CANDIDATE, n)}
+    r = random.Random(99)
+    strings = ["".join(r.choices(a, k=k)) for a in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/") for k in (20, 24, 32, 40, 64) for _ in range(200)]
+    found = lambda x: any(s[0] in ("random", "hex", "access") for s in find(f"as {x} is"))
+    assert len(names) > 300 and sum(map(found, names)) <= 0.005 * len(names)
+    assert sum(map(found, strings)) >= 0.98 * len(strings)
+
+
+def test_hostile_texts_cost_one_pass():
+    """Long runs of digits, and 200,000 spans in one text."""
+    start = time.monotonic()
+    assert pii.make_finder()("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)]
+    assert pii.make_finder()("9" * 100_000 + ".1.2.3 " + "1" * 100_000) == []
+    found = pii.make_finder()("joe@a.b https://u@h.c/ " * 100_000)
+    assert len(found) == 200_000
+    models = secrets.MarkovPair(secrets.random_samples(), secrets.library_identifiers())
+    assert len(secrets.make_finder(models)()('token = "abcdefghijkl" q7Zk9LmP2vX8rT4wYb6N3cJd5 ' * 100_000)) == 200_000
+    assert time.monotonic() - start < 60
+
+
+def test_taken_ranges():
+    r = random.Random(1)
+    for _ in range(2000):
+        spans = [("x", s, s + r.randint(1, 6)) for s in r.choices(range(40), k=r.randint(0, 6))]
+        s = r.randint(0, 40)
+        e = s + r.randint(1, 5)
+        assert Taken(spans).clear(s, e) == all(e <= a or b <= s for _, a, b in spans)
+
+
 def test_spans_of_awkward_rows(awkward, nothing):
     for docs, n in ((awkward, awkward.count()), (nothing, 0)):
         assert pii.find_personal_data(docs).count() == n
