@@ -16,11 +16,13 @@ no component (its component_id is null if no row with an id is reached); an empt
 columns beside doc_id and text are ignored, whatever their names.
 
 The pipeline's stage asks for another thing: texts whose sets of five-word shingles have a Jaccard similarity of
-0.8 or more.  Fingerprints of such texts differ in about ten of 64 bits, too many for segments to select by, so
-the stage finds candidates by min-hash bands (24 of 4: a pair at 0.8 is missed with a probability of 4e-6) and
-verifies every link on the whole shingle sets.  Equal sets are one from the start.  Each member of a band key is
-first held against the smallest one; only what these links leave in different components is compared further.
-A text of fewer than five words is one shingle; texts without words are one set.
+0.8 or more.  Fingerprints of such texts differ in about ten of 64 bits, too many for segments to select by.  Equal
+sets are one from the start.  A union of at most nine shingles is similar only where one set lacks a single shingle
+of the other, which deletion variants of the set find by equality, each variant one set at most.  Larger sets
+(eight shingles or more) become candidates by min-hash bands (24 of 4: a pair at 0.8 is missed with a probability of
+4e-6), and every link is verified on the whole shingle sets.  Each member of a band key is first held against the
+smallest and the greatest one; only what these links leave in different components is compared further.  A text of
+fewer than five words is one shingle; texts without words are one set.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ HOT_KEY = 512
 
 #: The stage's shingle size, its bands of min-hashes, and the least similarity of a link as a fraction.
 SHINGLE, BANDS, BAND_ROWS, SIMILAR = 5, 24, 4, (4, 5)
+#: Sets of so few shingles have deletion variants, sets of so many have bands; a similar union of ten shingles or more shares eight.
+SMALL, LARGE = 9, 8
 
 
 def fingerprint_of(texts: list[str | None], shingle: int = 3, seed: int = 42) -> np.ndarray:
@@ -181,8 +185,16 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _hashes(sets: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, 7) for x in sets], dtype=np.uint64).view(np.int64)
+
+
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(row_no, doc_id, set, n, keys, shingles): set is the hash of a text's shingle set, n its size, shingles its sorted hashes."""
+    """(row_no, doc_id, set, n, keys, variants, shingles) of (row_no, doc_id, text).
+
+    set is the hash of a text's shingle set, n its size, shingles its sorted hashes; variants are the hashes of the
+    set without one shingle each.
+    """
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +203,15 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingle_set(t) for t in part.column(2).to_pylist()]
-                full = [x for x in sets if len(x)]
+                full = [x for x in sets if len(x) >= LARGE]
                 keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
                 raw = [x.tobytes() for x in sets]
-                ids = np.array([xxhash.xxh64_intdigest(x, 7) for x in raw], dtype=np.uint64).view(np.int64)
-                columns = [part.column(0), part.column(1), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) else [] for x in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "set", "n", "keys", "shingles"])
+                ids = _hashes(raw)
+                less = [_hashes([x[: 8 * k] + x[8 * k + 8 :] for k in range(len(x) // 8)]) if 5 <= len(x) // 8 <= SMALL else [] for x in raw]
+                columns = [part.column(0), part.column(1), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "set", "n", "keys", "variants", "shingles"])
 
-    return rows.mapInArrow(run, "row_no long, doc_id long, set long, n long, keys array<long>, shingles binary")
+    return rows.mapInArrow(run, "row_no long, doc_id long, set long, n long, keys array<long>, variants array<long>, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,24 +236,28 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(known: DataFrame) -> DataFrame:
-    """(a, b): verified links between distinct sets that join all which the verified pairs of a band key join."""
+    """(a, b): links between distinct sets that join all which the similar pairs of a key join; those of band keys are verified."""
     over, under = SIMILAR
     fit = f"{under} * least(m, n) >= {over} * greatest(m, n)"
-    distinct = known.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    distinct = materialize(known.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("variants").alias("variants")), "distinct-sets")
+    fuller = distinct.select(F.col("set").alias("b"), F.explode("variants").alias("a"))
+    lacking = fuller.join(distinct.where(f"n < {SMALL}").select(F.col("set").alias("a")), "a").select("a", "b")
     entries = distinct.select("set", "n", F.explode("keys").alias("key"))
-    pivots = entries.groupBy("key").agg(F.min(F.struct("set", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(entries.join(pivots, "key").select("key", "set", "n", F.col("p.set").alias("pivot"), F.col("p.n").alias("m")), "band-members")
-    stars = similar(materialize(members.where(f"set <> pivot AND {fit}").select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct(), "star-pairs"), known)
+    pivots = entries.groupBy("key").agg(F.min(F.struct("set", "n")).alias("p"), F.max(F.struct("set", "n")).alias("z"), F.count("*").alias("c")).where("c > 1")
+    members = materialize(entries.join(pivots, "key").select("key", "set", "n", "p", "z"), "band-members")
+    first = members.select("set", "n", F.explode(F.array("p", "z")).alias("p")).select("set", "n", F.col("p.set").alias("pivot"), F.col("p.n").alias("m"))
+    pairs = materialize(first.where(f"set <> pivot AND {fit}").select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct(), "star-pairs")
+    stars = materialize(lacking.union(similar(pairs, known)), "stars")
     reached = components(stars).select(F.col("node").alias("set"), "component")
-    placed = materialize(members.join(reached, "set", "left").select("key", "set", "n", "pivot", F.coalesce("component", "set").alias("component")), "placed-members")
+    placed = materialize(members.join(reached, "set", "left").select("key", "set", "n", F.expr("set = p.set OR set = z.set").alias("met"), F.coalesce("component", "set").alias("component")), "placed-members")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    # A pivot has met all members; the others of different components have not met.
-    rest = materialize(placed.where("set <> pivot").join(open_keys, "key", "left_semi"), "open-members")
+    # The pivots have met all members; the others of different components have not met.
+    rest = materialize(placed.where("NOT met").join(open_keys, "key", "left_semi"), "open-members")
     left = rest.select("key", F.col("set").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
     right = rest.select("key", F.col("set").alias("b"), "n", F.col("component").alias("cb"))
     pairs = materialize(left.join(right, "key").where(f"a < b AND ca <> cb AND {fit}").select("a", "b").distinct(), "open-pairs")
     found = stars.union(similar(pairs, known))
-    release(members, placed, rest)
+    release(distinct, members, placed, rest)
     return found
 
 
@@ -251,9 +268,12 @@ def near_copies(rows: DataFrame) -> DataFrame:
     """
     known = materialize(shingle_sets(rows), "shingle-sets")
     reached = components(similar_links(known)).select(F.col("node").alias("set"), "component")
-    rooted = known.select("row_no", "doc_id", "set").join(reached, "set", "left").select("row_no", "doc_id", F.coalesce("component", "set").alias("root"))
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "row_no")).alias("first"))
-    out = materialize(rooted.join(least, "root").select("row_no", F.col("first.row_no").alias("first")), "near-copies")
+    # Copies are counted down to sets first, so a set that a third of the rows share is one row in what follows.
+    firsts = known.groupBy("set").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "row_no")).alias("first"))
+    rooted = materialize(firsts.join(reached, "set", "left").select("set", "first", F.coalesce("component", "set").alias("root")), "rooted-sets")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    by_set = rooted.join(least, "root").select("set", F.col("least.row_no").alias("first"))
+    out = materialize(known.select("row_no", "set").join(by_set, "set").select("row_no", "first"), "near-copies")
     release(known)
     return out
 

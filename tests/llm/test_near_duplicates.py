@@ -251,6 +251,8 @@ def test_stage_links_what_all_pairs_of_five_word_sets_link(spark):
             texts.append(" ".join(words))
     crowd = prose(200)
     texts += [" ".join(crowd[:k] + ["x" + str(k)] + crowd[k:]) for k in range(0, 200, 3)] + [" ".join(prose(80)) for _ in range(20)]
+    small = prose(40)
+    texts += [" ".join(small[a:b]) for a in range(0, 24, 3) for b in range(a + 5, a + 16)]  # 1 to 11 shingles
     r.shuffle(texts)
     sets = []
     for t in texts:
