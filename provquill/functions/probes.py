@@ -8,46 +8,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import dims
+from . import tokens
+from .tokens import Tokens
 
 Pairs = Sequence[tuple[str, str]]
 
 
-def has(buf: Column, token: str, binary: bool = False) -> Column:
+def has(buf: Column | Tokens, token: str, binary: bool = False) -> Column:
     """contains, false for null."""
+    if isinstance(buf, Tokens):
+        return buf.has(token)
     return F.coalesce(F.contains(buf, F.lit(bytearray(token.encode())) if binary else F.lit(token)), F.lit(False))
 
 
-def has_any(buf: Column, tokens: Iterable[str], binary: bool = False) -> Column:
+def has_any(buf: Column | Tokens, tokens: Iterable[str], binary: bool = False) -> Column:
+    if isinstance(buf, Tokens):
+        return buf.has_any(tokens)
     out = F.lit(False)
     for t in tokens:
         out = out | has(buf, t, binary)
     return out
 
 
-def first_match(buf: Column, pairs: Pairs, binary: bool = False) -> Column:
+def first_match(buf: Column | Tokens, pairs: Pairs, binary: bool = False) -> Column:
     """The label of the first pair, in table order, whose token occurs; null for none."""
     return F.coalesce(*[F.when(has(buf, t, binary), F.lit(label)) for t, label in pairs], F.lit(None).cast("string"))
 
 
-def ordered_matches(buf: Column, pairs: Pairs, binary: bool = False) -> Column:
+def ordered_matches(buf: Column | Tokens, pairs: Pairs, binary: bool = False) -> Column:
     """Distinct labels of all tokens that occur, in table order."""
     return F.array_distinct(F.array_compact(F.array(*[F.when(has(buf, t, binary), F.lit(label)) for t, label in pairs])))
 
 
-def sorted_matches(buf: Column, pairs: Pairs, binary: bool = False) -> Column:
+def sorted_matches(buf: Column | Tokens, pairs: Pairs, binary: bool = False) -> Column:
     return F.array_sort(ordered_matches(buf, pairs, binary))
 
 
-def c2pa_marker(buf: Column) -> Column:
+def c2pa_marker(buf: Column | Tokens) -> Column:
     """The provenance box's UUID, or a jumb box together with c2pa in any case."""
+    if isinstance(buf, Tokens):
+        return buf.has_named(tokens.UUID) | buf.has_named(tokens.NAMED)
     uuid = F.contains(buf, F.lit(bytearray.fromhex("d8fec3d61b0e483c92975828877ec481")))
     jumb = F.contains(buf, F.lit(bytearray(b"jumb")))
     named = F.contains(F.lower(F.decode(buf, "ISO-8859-1")), F.lit("c2pa"))
     return F.coalesce(uuid | (jumb & named), F.lit(False))
 
 
-def source_kind(buf: Column, structured: Column, binary: bool = True) -> Column:
+def source_kind(buf: Column | Tokens, structured: Column, binary: bool = True) -> Column:
     """generated, enhanced or null; composite markers hold the other marker's letters and are taken out first."""
+    if isinstance(buf, Tokens):
+        return F.when(F.coalesce(structured == "generated", F.lit(False)) | buf.has_named(tokens.BARE), "generated").when(F.coalesce(structured == "enhanced", F.lit(False)) | buf.has_any(tokens.COMPOSITES), "enhanced")
     text = F.decode(buf, "ISO-8859-1") if binary else buf
     bare = F.replace(F.replace(text, F.lit("compositeWithTrainedAlgorithmicMedia"), F.lit("")), F.lit("compositeSynthetic"), F.lit(""))
     generated = (structured == "generated") | has_any(bare, ("trainedAlgorithmicMedia", "TrainedAlgorithmicMedia"))
@@ -72,7 +82,7 @@ def issuer_platform(issuers: Column, is_ai: Column) -> Column:
     return F.coalesce(F.when(is_ai, named), neutral)
 
 
-def synthid_vendors(buf: Column, binary: bool = True) -> Column:
+def synthid_vendors(buf: Column | Tokens, binary: bool = True) -> Column:
     action = has(buf, "c2pa.watermarked", binary)
     found = [F.when(has(buf, v.token, binary) & (action if v.needs_watermark_action else F.lit(True)), F.lit(v.org)) for v in dims.VENDORS if v.synthid]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))

@@ -104,7 +104,7 @@ def first_by_hash(rows: DataFrame, content: str, order: str) -> DataFrame:
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows in the order of a seeded hash of their key: the sampling operator of the audits."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key).limit(n)
 
 
 def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
@@ -113,14 +113,13 @@ def most_common(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def terciles(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Thirds by rank of the value, ties by key, from range-partitioned order and not from one task.
-
-    Boundaries are exact nearest-rank thirds of (value, key) pairs.
-    """
+    """Thirds by the exact nearest-rank thirds of the value; equal values share the lower third, whatever their key."""
     edge = df.agg(F.expr(f"percentile_disc(0.3333333333333333) WITHIN GROUP (ORDER BY {value})").alias("a"), F.expr(f"percentile_disc(0.6666666666666666) WITHIN GROUP (ORDER BY {value})").alias("b"))
     return df.crossJoin(F.broadcast(edge)).withColumn("tercile", F.when(F.col(value) <= F.col("a"), 1).when(F.col(value) <= F.col("b"), 2).otherwise(3)).drop("a", "b")
 
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows that only one view has, with the side they are on."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    """Rows that only one view has, as often as it has them more, with the side they are on: one aggregation of both."""
+    both = left.withColumn("_n", F.lit(1)).unionByName(right.withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*[F.col(f"`{c}`") for c in left.columns]).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return more.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_n", F.explode(F.sequence(F.lit(1), F.abs("_n")))).drop("_n")

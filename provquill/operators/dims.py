@@ -80,9 +80,6 @@ GENERATOR_TOKENS = (
     "ideogram", "leonardo", "flux", "dreamstudio", "novelai", "reve.com", "luma ai", "lumalabs", "aphrodite ai", "apple photos clean up", "fal-ai",
 )
 
-# Recorded actions.
-ACTIONS = ("created", "converted", "edited", "filtered", "cropped", "resized", "opened", "placed", "watermarked.unbound")
-
 # Capture devices and signing applications.
 DEVICES = (
     ("lc_c2pa", "Leica (camera, C2PA capture)"),
@@ -175,6 +172,13 @@ GAP_MARKERS = (
 PAYLOADS_48 = (("Stable Diffusion XL", 0b101100111110110010010000011110111011000110011110), ("FLUX.2 (Black Forest Labs)", 0b001010101111111010000111100111001111010100101110))
 PAYLOAD_TEXT, MATCH_48, MATCH_TEXT = "StableDiffusionV1", 44, 0.92
 
+# The container of an editor's marker, and keys of external records that describe the collector, not the file.
+SAMSUNG_MARKER = "PhotoEditor_Re_Edit_Data"
+DIAGNOSTIC_KEYS = (
+    "artifacts", "birthtime", "color", "content_format", "dct", "ela", "error", "extension", "fft", "file", "filename", "full", "gradient", "kind", "mtime", "name", "noise", "path", "pixel",
+    "provenance", "sha256", "signals", "size_bytes", "timing_ms",
+)
+
 # Validation codes of credentials.
 BINDING_MATCHES = ("assertion.dataHash.match", "assertion.bmffHash.match", "assertion.boxesHash.match", "assertion.collectionHash.match", "assertion.multiAssetHash.match")
 BINDING_FAILURES = ("Hash.incorrectFileCount", "Hash.malformed", "Hash.mismatch", "Hash.missingPart", "assertion.hashedURI.mismatch", "claim.hardBindings.missing", "hashedUri.mismatch", "ingredient.manifest.mismatch")

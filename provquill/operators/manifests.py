@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dims
+from .shared import materialize
 
 _STATUS = "struct<success:array<struct<code:string>>,informational:array<struct<code:string>>,failure:array<struct<code:string>>>"
 _CHECKED = f"validation_results:struct<activeManifest:{_STATUS}>,validation_status:array<struct<code:string>>,validation_state:string"
@@ -59,22 +60,23 @@ def edges(stores: DataFrame, key: str = "path", store: str = "store") -> DataFra
     return links.where("i.active_manifest IS NOT NULL").select(key, "parent", "ordinal", F.col("i.active_manifest").alias("child"), invalid_credential(F.col("i")).alias("bad"))
 
 
-def reachable(roots: DataFrame, links: DataFrame, key: str = "path", root: str = "root", max_rounds: int = 100) -> DataFrame:
+def reachable(roots: DataFrame, links: DataFrame, key: str = "path", root: str = "root") -> DataFrame:
     """(key, node, depth): breadth-first reach from each root over links that are not bad; cycles end by themselves.
 
-    A round joins the frontier with the links and drops what is known, so work is one pass over new nodes; the
-    rounds are as many as the deepest chain.
+    Links hold for the key that they carry, or for every key if they have none.  A round joins the frontier with the
+    links and drops what is known, so work is one pass over new nodes; the rounds are as many as the deepest chain,
+    each written to the shared folder.
     """
-    reached = roots.select(key, F.col(root).alias("node"), F.lit(0).alias("depth")).where("node IS NOT NULL").distinct()
-    frontier = reached
-    usable = links.where("NOT bad").select(key, F.col("parent").alias("node"), "child").distinct()
-    for depth in range(1, max_rounds + 1):
-        new = frontier.join(usable, [key, "node"]).select(key, F.col("child").alias("node")).distinct()
-        frontier = new.join(reached, [key, "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint() if roots.sparkSession.sparkContext.getCheckpointDir() else new.join(reached, [key, "node"], "left_anti").withColumn("depth", F.lit(depth)).cache()
-        if frontier.isEmpty():
-            return reached
+    own = [key] if key in links.columns else []
+    frontier = materialize(roots.select(key, F.col(root).alias("node"), F.lit(0).alias("depth")).where("node IS NOT NULL").distinct(), "reached")
+    usable = materialize(links.where("NOT bad").select(*own, F.col("parent").alias("node"), "child").distinct(), "links")
+    reached, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        new = frontier.join(usable, [*own, "node"]).select(key, F.col("child").alias("node")).distinct()
+        frontier = materialize(new.join(reached, [key, "node"], "left_anti").withColumn("depth", F.lit(depth)), "reached")
         reached = reached.union(frontier)
-    raise ValueError(f"chains deeper than {max_rounds}")
+    return reached
 
 
 def structured_fields(stores: DataFrame, key: str = "path", store: str = "store") -> DataFrame:

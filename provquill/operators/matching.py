@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 
 def greedy_pairs(candidates: DataFrame, by: str, left: str, right: str, score: str, least: float = 0.0) -> DataFrame:
-    """Pairs taken from the highest score on (ties by left, then right), each side used once; a fold per group."""
-    good = candidates.where(F.col(score) >= least).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(left).alias("l"), F.col(right).alias("r")))).alias("p"))
-    taken = F.expr("aggregate(p, slice(p, 1, 0), (t, x) -> CASE WHEN exists(t, y -> y.l = x.l OR y.r = x.r) THEN t ELSE concat(t, array(x)) END)")
-    return good.select(by, F.explode(taken).alias("x")).select(by, F.col("x.l").alias(left), F.col("x.r").alias(right), (-F.col("x.s")).alias(score))
+    """Pairs taken from the highest score on (ties by left, then right), each side used once.
+
+    A pair that is the best of both its sides is taken whatever the rest holds, so every round takes all such pairs
+    of all groups at once and drops what they touch; no group is gathered in one task.  Rounds are as many as the
+    longest chain of pairs that wait for a better one, and each is written to the shared folder.
+    """
+    order = (F.desc("_s"), F.col("_l"), F.col("_r"))
+    rest = materialize(candidates.where(F.col(score) >= least).select(F.col(by).alias("_by"), F.col(left).alias("_l"), F.col(right).alias("_r"), F.col(score).alias("_s")), "candidates")
+    taken: DataFrame | None = None
+    while True:
+        ranked = rest.withColumn("_a", F.row_number().over(Window.partitionBy("_by", "_l").orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy("_by", "_r").orderBy(*order)))
+        best = materialize(ranked.where("_a = 1 AND _b = 1").select("_by", "_l", "_r", "_s"), "taken")
+        taken = best if taken is None else taken.union(best)
+        if best.isEmpty():
+            return taken.select(F.col("_by").alias(by), F.col("_l").alias(left), F.col("_r").alias(right), F.col("_s").alias(score))
+        rest = materialize(rest.join(best.select("_by", "_l"), ["_by", "_l"], "left_anti").join(best.select("_by", "_r"), ["_by", "_r"], "left_anti").select("_by", "_l", "_r", "_s"), "candidates")

@@ -6,13 +6,19 @@ one mark, so windows partition by sequence and a sequence's frames are ordered,
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.probes import iou
 
+cloudpickle.register_pickle_by_value(sys.modules["provquill"])
+
 #: Missing frames that a run may bridge, and the overlap that keeps it.
 MAX_GAP, STABLE_IOU = 2, 0.55
 
@@ -52,20 +58,33 @@ def runs(frames: DataFrame, weak: float, by: str = "sequence", max_gap: int = MA
 
 
 def anchored_runs(frames: DataFrame, weak: float, anchor: float, by: str = "sequence", max_gap: int = MAX_GAP, stable: float = STABLE_IOU) -> DataFrame:
-    """runs() that also break where the region leaves the run's first region; a fold over each sequence."""
-    seen = frames.where(f"region IS NOT NULL AND confidence >= {weak}")
-    ordered = seen.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("frame_index", "confidence", "region"))).alias("f"))
-    over = lambda a, b: (
-        f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))"
-    )
-    ratio = lambda a, b: f"coalesce({over(a, b)} / nullif({a}.w * {a}.h + {b}.w * {b}.h - {over(a, b)}, 0), 0)"
-    fold = (
-        "aggregate(f, named_struct('run', 0L, 'first', f[0].region, 'last', f[0], 'out', cast(array() AS array<bigint>)), (s, x) -> "
-        f"CASE WHEN s.run > 0 AND x.frame_index - s.last.frame_index <= {max_gap + 1} AND {ratio('s.last.region', 'x.region')} >= {stable} AND {ratio('s.first', 'x.region')} >= {anchor} "
-        "THEN named_struct('run', s.run, 'first', s.first, 'last', x, 'out', concat(s.out, array(s.run))) "
-        "ELSE named_struct('run', s.run + 1, 'first', x.region, 'last', x, 'out', concat(s.out, array(s.run + 1))) END).out"
-    )
-    return ordered.withColumn("run", F.expr(fold)).select(by, F.explode(F.arrays_zip("f", "run")).alias("z")).select(by, "z.f.*", "z.run")
+    """runs() that also break where the region leaves the run's first region.
+
+    Whether a frame opens a run depends on where the last run began, so a sequence's candidates are walked in order
+    by one task; nothing but their numbers is held.
+    """
+    seen = frames.where(f"region IS NOT NULL AND confidence >= {weak}").select(by, "frame_index", "confidence", "region")
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("frame_index")
+        frame = rows.column("frame_index").to_pylist()
+        region = [tuple(r[k] for k in "xywh") for r in rows.column("region").to_pylist()]
+        found, first = [], 0
+        for k, (f, r) in enumerate(zip(frame, region, strict=True)):
+            if not k or f - frame[k - 1] > max_gap + 1 or overlap(region[k - 1], r) < stable or overlap(region[first], r) < anchor:
+                first = k
+            found.append(found[-1] + (first == k) if found else 1)
+        return rows.append_column("run", pa.array(found, pa.int64()))
+
+    return seen.groupBy(by).applyInArrow(walk, StructType([*seen.schema.fields, StructField("run", LongType())]))
+
+
+def overlap(a: tuple[float, ...], b: tuple[float, ...]) -> float:
+    """Intersection over union of two regions (x, y, w, h); 0 for an empty union."""
+    width = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
+    height = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    union = a[2] * a[3] + b[2] * b[3] - width * height
+    return width * height / union if union > 0 else 0.0
 
 
 def accepted_runs(segmented: DataFrame, min_frames: int, strong: float, provenance: Column | bool = False, by: str = "sequence") -> DataFrame:
@@ -94,9 +113,12 @@ def stabilize(frames: DataFrame, policy: Policy, provenance: bool = False, by: s
     filled = F.when(F.col("_kept").isNotNull(), F.col("_kept")).when(inside, F.when(F.col("_pos") - F.col("_l._pos") <= F.col("_r._pos") - F.col("_pos"), F.col("_l._kept")).otherwise(F.col("_r._kept")))
     df = df.withColumn("accepted", filled)
     if policy.cover or provenance:
-        confirmed = F.collect_set("accepted").over(Window.partitionBy(by))
-        df = df.withColumn("_all", confirmed)
-        own = F.col("region").isNotNull() & (F.col("confidence") >= policy.transition) & F.exists("_all", lambda r: iou(F.col("region"), r) >= STABLE_IOU)
+        # Each distinct region is held against the distinct confirmed ones of its sequence, not every frame against all.
+        confirmed = df.where("accepted IS NOT NULL").select(F.col(by).alias("_by"), F.col("accepted").alias("_near")).distinct()
+        asked = df.where(f"region IS NOT NULL AND accepted IS NULL AND confidence >= {policy.transition}").select(by, "region").distinct()
+        near = asked.join(confirmed, (F.col(by) == F.col("_by")) & (iou(F.col("region"), F.col("_near")) >= STABLE_IOU), "left_semi").withColumn("_own", F.lit(True))
+        df = df.join(near, [by, "region"], "left")
+        own = F.col("_own") & (F.col("confidence") >= policy.transition)
         carried = F.coalesce(F.last("accepted", True).over(back), F.first("accepted", True).over(ahead))
         df = df.withColumn("accepted", F.coalesce("accepted", F.when(own, F.col("region")), carried))
     return df.select(*frames.columns, "accepted")

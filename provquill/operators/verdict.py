@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probes as P
+from ..functions.tokens import Tokens, seen
 from . import dims
 
 C2PA_TYPE = "struct<issuer:string,claim_generator:string,ai_tool:string,source_type:string,source_kind:string,integrity:string,signature:string,trust:string,validity:string,identity_ai:boolean,codes:array<string>>"
@@ -64,10 +65,14 @@ def verdicts(evidence: DataFrame, region: str | None = None) -> DataFrame:
     """Adds the verdict columns to evidence rows.
 
     region names a column with the scan's metadata region (coded pixels cut out), which the short vendor tokens
-    are looked up in; longer markers read the whole scan.  Without it the whole scan serves both.
+    are looked up in; longer markers read the whole scan.  Without it the whole scan serves both.  A column seen, as
+    the file and record sources give it, holds the tokens of both already; else one Arrow pass finds them.
     """
     df = with_evidence_columns(evidence)
-    head, reg, c = F.col("scan"), F.col(region or "scan"), F.col("c2pa")
+    if "seen" not in df.columns:
+        df = df.withColumn("_seen", seen(F.col("scan").cast("binary"), F.col(region or "scan").cast("binary")))
+    found_in = "seen" if "seen" in df.columns else "_seen"
+    head, reg, c = Tokens(F.col(f"{found_in}.head")), Tokens(F.col(f"{found_in}.region")), F.col("c2pa")
     df = df.withColumns({
         "_level": credential_level(c), "_has": c.isNotNull() | P.c2pa_marker(head), "_camera": P.first_match(reg, dims.DEVICES, True), "_signer": P.first_match(reg, dims.SIGNERS, True),
         "_issuers": F.when(c["issuer"].isNotNull() & (c["issuer"] != ""), F.array(c["issuer"])).otherwise(P.sorted_matches(reg, [(v.token, v.org) for v in dims.VENDORS], True)),
@@ -152,7 +157,7 @@ def verdicts(evidence: DataFrame, region: str | None = None) -> DataFrame:
         "integrity_clashes": F.array_compact(F.concat(F.array(broken), clashes(F.col("_claims"), F.when(usable, F.col("_camera"))))),
         "credential_level": F.when(has, F.col("_level")),
     })
-    return df.drop(*[x for x in df.columns if x.startswith("_")])
+    return df.drop("seen", *[x for x in df.columns if x.startswith("_")])
 
 
 def verdict_json(df: DataFrame, version: int = 1) -> DataFrame:

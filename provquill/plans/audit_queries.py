@@ -155,7 +155,7 @@ def t03_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.most_common(load(spark, sf_dir, "part"), "p_brand", 5)
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
 def t05_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded sample (T05): the sampling operator of the audits."""
     return A.seeded_sample(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 50)
@@ -170,11 +170,16 @@ def t07_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("c_custkey", F.array_join(F.array_sort(F.array_except("a", "b")), "|").alias("only_a"), F.size(F.array_union("a", "b")).cast("long").alias("n_union"), F.arrays_overlap("a", "b").alias("overlap"))
 
 
-@query("SELECT * FROM (SELECT o_orderkey, 'left' AS side FROM orders WHERE o_orderkey % 100 = 0 EXCEPT ALL SELECT o_orderkey, 'left' FROM orders WHERE o_orderkey % 200 = 0)")
+_RECORD_VIEW = "SELECT o_orderkey, CASE WHEN o_orderkey % 200 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 300 <> 0"
+
+
+@query(f"""SELECT *, 'left' AS side FROM (SELECT o_orderkey, o_orderstatus AS status FROM orders EXCEPT ALL {_RECORD_VIEW})
+UNION ALL SELECT *, 'right' FROM ({_RECORD_VIEW} EXCEPT ALL SELECT o_orderkey, o_orderstatus FROM orders)""")
 def h02_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File view against record view (H02): multiset difference both ways."""
-    o = load(spark, sf_dir, "orders").select("o_orderkey")
-    return A.parity(o.where("o_orderkey % 100 = 0"), o.where("o_orderkey % 200 = 0"))
+    """File view against record view (H02): multiset difference both ways; the record view lacks some orders and has another status for some."""
+    o = load(spark, sf_dir, "orders")
+    record = o.where("o_orderkey % 300 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 200 == 0, "X").otherwise(F.col("o_orderstatus")).alias("status"))
+    return A.parity(o.select("o_orderkey", F.col("o_orderstatus").alias("status")), record)
 
 
 @query(_PRECISION_SQL.replace("SELECT lang, scope, tp, fp, fn, round(p, 6) AS precision", "SELECT lang, round(p - 0.5, 6) AS delta, round(p, 6) AS precision").split(", CASE WHEN tp + fn")[0] + " FROM w")
@@ -211,15 +216,18 @@ def a23_priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")).cast("long"))
 
 
-@query()
+@query("""WITH c AS (SELECT a.p_brand || ' ' || a.p_type AS product, a.p_partkey AS l, b.p_partkey AS r, 1.0 / (1 + abs(a.p_size - b.p_size)) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size % 2 = 0 AND b.p_size % 2 = 1),
+g AS (SELECT product, list({'s': -score, 'l': l, 'r': r} ORDER BY -score, l, r) AS p FROM c WHERE score >= 0.05 GROUP BY product),
+t AS (SELECT product, unnest(list_reduce(list_transform(p, lambda c: [c]), lambda taken, x: CASE WHEN len(list_filter(taken, lambda y: y.l = x[1].l OR y.r = x[1].r)) > 0 THEN taken ELSE list_concat(taken, x) END)) AS x FROM g)
+SELECT product, x.l AS l, x.r AS r, round(-x.s, 6) AS score FROM t""")
 def j14_greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy one-to-one matching (J14); the tests hold it against a plain loop."""
+    """Greedy one-to-one matching (J14) of every product's parts of even and of odd size, the nearest sizes first."""
     from ..operators.matching import greedy_pairs
 
-    p = load(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size")
-    a, b = p.where("p_partkey % 20 = 0").alias("a"), p.where("p_partkey % 20 = 1").alias("b")
-    c = a.join(b, F.col("a.p_brand") == F.col("b.p_brand")).select(F.col("a.p_brand").alias("p_brand"), F.col("a.p_partkey").alias("l"), F.col("b.p_partkey").alias("r"), (1.0 / (1 + F.abs(F.col("a.p_size") - F.col("b.p_size")))).alias("score"))
-    return greedy_pairs(c, "p_brand", "l", "r", "score", 0.05)
+    p = load(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("product"), "p_partkey", "p_size")
+    a, b = p.where("p_size % 2 = 0").alias("a"), p.where("p_size % 2 = 1").alias("b")
+    c = a.join(b, F.col("a.product") == F.col("b.product")).select("a.product", F.col("a.p_partkey").alias("l"), F.col("b.p_partkey").alias("r"), (1.0 / (1 + F.abs(F.col("a.p_size") - F.col("b.p_size")))).alias("score"))
+    return greedy_pairs(c, "product", "l", "r", "score", 0.05).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT r_regionkey, array_to_string(list_filter(['head', CASE WHEN r_regionkey % 2 = 0 THEN 'even' END, 'tail'], lambda x: x IS NOT NULL), '>') AS parts FROM region")

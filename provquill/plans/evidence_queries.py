@@ -202,12 +202,11 @@ def j01_ingredient_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
         .union(customer.select(tag("n", "c_nationkey"), tag("c", "c_custkey"), F.col("c_custkey") % 7 == 0))
         .union(customer.select(tag("c", "c_custkey"), F.lit("r0"), F.lit(False)))
     )
-    links = links.crossJoin(F.broadcast(roots.select("path")))  # five roots share the links
     found = reachable(roots, links)
     return found.groupBy(F.col("path").alias("root"), F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(2 AS BIGINT) AS n, 'a|b' AS nodes FROM part")
 def j01_store_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges and traversal of JSON stores (J01, P37): an ingredient chain with a cycle and one bad link per store."""
     part = load(spark, sf_dir, "part")
@@ -225,7 +224,7 @@ def p34_status_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", (F.size(bad) > 0).alias("fallback"), F.size(bad).cast("long").alias("failures"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'kept' WHEN c_custkey % 3 = 0 THEN 'vetoed' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'dropped' END ELSE 'dropped' END AS pill FROM customer WHERE NOT (c_custkey % 7 = 0 AND c_custkey % 3 = 0)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'vetoed' WHEN c_custkey % 7 = 0 THEN 'kept' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'kept' ELSE 'dropped' END ELSE 'dropped' END AS pill FROM customer")
 def f28_pill_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep rule of a weak mark (F27, F28, F30): vetoed by another product's mark, kept with its own or by provenance on a flat ground."""
     from ..operators.marks import keep_pill
@@ -234,7 +233,7 @@ def f28_pill_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = F.array_compact(F.array(F.when(k % 3 == 0, "doubao"), F.when(k % 7 == 0, "jimeng")))
     kept = keep_pill(fired, F.when(k % 5 == 0, F.array(F.lit("jimeng"))).otherwise(F.array().cast("array<string>")), k % 2 == 0)
     vetoed = F.array_contains(fired, "doubao")
-    return load(spark, sf_dir, "customer").where("NOT (c_custkey % 7 = 0 AND c_custkey % 3 = 0)").select("c_custkey", F.when(kept, "kept").when(vetoed, "vetoed").otherwise("dropped").alias("pill"))
+    return load(spark, sf_dir, "customer").select("c_custkey", F.when(kept, "kept").when(vetoed, "vetoed").otherwise("dropped").alias("pill"))
 
 
 @query("""SELECT p_partkey, mark, p_size / 100.0 >= gate AS strict, p_size / 100.0 >= gate * factor AS relaxed FROM part, (VALUES ('doubao', 0.5, 0.7), ('jimeng', 0.45, 0.7), ('kling', 0.35, 1.0)) m(mark, gate, factor)""")
@@ -273,16 +272,16 @@ def p48_video_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     k = F.col("p_partkey")
     v = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.when(k % 3 == 0, F.array(F.lit("Made with Sora"))).otherwise(F.array().cast("array<string>")).alias("markers"))
-    s = load(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(k.cast("string").alias("path"), F.explode(F.when(k % 8 == 0, F.array(F.lit("kling"), F.lit("veo"))).otherwise(F.array(F.lit("kling")))).alias("mark"))
+    s = load(spark, sf_dir, "part").select(k.cast("string").alias("path"), F.explode(F.when(k % 8 == 0, F.array(F.lit("kling"), F.lit("veo"))).when(k % 4 == 0, F.array(F.lit("kling"))).otherwise(F.array().cast("array<string>"))).alias("mark"))
     return video_verdicts(v, s).select("path", F.when(F.col("is_ai_generated"), "true").otherwise("unknown").alias("is_ai"), "platform", "confidence")
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'OpenAI|Adobe' AS issuers, 'a0|b' || (p_partkey % 3) AS generators FROM part WHERE p_partkey % 10 = 0")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS path, 'OpenAI|Adobe' AS issuers, 'a0|b' || (p_partkey % 3) AS generators FROM part")
 def p37_structured_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issuers and generators along a store's usable chain."""
     from ..operators.manifests import structured_fields
 
     text = F.expr("""concat('{"active_manifest":"a","manifests":{"a":{"claim_generator":"a0","signature_info":{"issuer":"OpenAI"},"ingredients":[{"active_manifest":"b"},{"active_manifest":"x","validation_status":[{"code":"claimSignature.mismatch"}]}]},"b":{"claim_generator":"b', p_partkey % 3, '","signature_info":{"issuer":"Adobe"}},"x":{"claim_generator":"never"}}}')""")
-    stores = load(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("path"), parse_store(text).alias("store"))
+    stores = load(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), parse_store(text).alias("store"))
     f = structured_fields(stores)
     return f.select("path", F.array_join("issuers", "|").alias("issuers"), F.array_join("claim_generators", "|").alias("generators"))

@@ -9,12 +9,12 @@ from ..functions import vectors as V
 from .registry import load, query
 
 
-@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS ncc FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE b.vec_id % 50 = 0")
+@query("SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS ncc FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE b.vec_id % 50 = 0")
 def j13_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of carriers within a label (J12, J13, F06, H15): every 50th vector against all before it."""
+    """Similarity of carriers within a label (J12, J13, F06, H15): a search whose queries are the vectors with an id divisible by 50, each against all others."""
     e = load(spark, sf_dir, "embeddings")
     a, b = e.alias("a"), e.where("vec_id % 50 = 0").alias("b")
-    j = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    j = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") != F.col("b.vec_id")))
     return j.select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(V.cosine(F.col("a.embedding"), F.col("b.embedding")), 5).alias("ncc"))
 
 

@@ -6,18 +6,23 @@ ends at the first malformed entry.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+from ..operators import dims
+
 Entry = tuple[str, int, int, bytes]
 
 PNG, JPEG_START, RIFF = b"\x89PNG\r\n\x1a\n", b"\xff\xd8", b"RIFF"
-#: Bytes of one body that are kept.
-BODY = 1 << 20
+#: Bytes of one body that are kept, and of the end that is searched for an end mark.
+BODY, QUICK = 1 << 20, 1 << 19
 _PROVENANCE_BOXES = ("uuid", "jumb")
 # Boxes that hold other boxes.
 _CONTAINERS = ("moov", "udta", "trak", "mdia", "minf", "stbl", "ilst", "dinf", "edts", "meta")
+# Entries of coded pixels and sound, whose bodies nothing reads.
+_CODED = ("IDAT", "fdAT", "VP8 ", "VP8L", "ALPH", "ANMF", "movi", "mdat", "idat", "free")
 
 
 def sniff(data: bytes) -> str:
@@ -43,7 +48,7 @@ def png_chunks(data: bytes) -> Iterator[Entry]:
         kind = data[at + 4 : at + 8].decode("latin-1")
         if size > 1 << 31 or not kind.isalpha():
             return
-        yield kind, at, size, data[at + 8 : at + 8 + min(size, BODY)]
+        yield kind, at, size, b"" if kind in _CODED else data[at + 8 : at + 8 + min(size, BODY)]
         if kind == "IEND":
             return
         at += 12 + size
@@ -115,7 +120,7 @@ def riff_chunks(data: bytes, start: int = 12, end: int | None = None) -> Iterato
     at, end = start, len(data) if end is None else min(end, len(data))
     while data[:4] == RIFF and at + 8 <= end:
         kind, size = data[at : at + 4].decode("latin-1"), int.from_bytes(data[at + 4 : at + 8], "little")
-        yield kind, at, size, data[at + 8 : at + 8 + min(size, BODY)]
+        yield kind, at, size, b"" if kind in _CODED else data[at + 8 : at + 8 + min(size, BODY)]
         at += 8 + size + (size & 1)
 
 
@@ -131,7 +136,7 @@ def iso_boxes(data: bytes, start: int = 0, end: int | None = None, path: str = "
         if size < head or at + head > end:
             return
         name = f"{path}/{kind}" if path else kind
-        yield name, at, size, data[at + head : at + min(size, head + BODY)]
+        yield name, at, size, b"" if kind in _CODED else data[at + head : at + min(size, head + BODY)]
         if kind in _CONTAINERS and depth < 8:
             inner = at + head
             if kind == "meta" and data[inner + 4 : inner + 8] not in (b"hdlr", b"keys", b"ilst") or kind == "meta" and data[inner : inner + 4] == b"\0\0\0\0":
@@ -160,7 +165,7 @@ def _vint(data: bytes, at: int, keep_marker: bool) -> tuple[int, int] | None:
 
 
 # Elements that hold others (segment, tags, tag, simple tag), and a tag's name and text.
-_EBML_MASTERS, _TAG_NAME, _TAG_STRING = (0x18538067, 0x1254C367, 0x7373, 0x67C8), 0x45A3, 0x4487
+_EBML_MASTERS, _TAG_NAME, _TAG_STRING, _EBML_CLUSTER = (0x18538067, 0x1254C367, 0x7373, 0x67C8), 0x45A3, 0x4487, 0x1F43B675
 
 
 def ebml_elements(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[Entry]:
@@ -172,7 +177,7 @@ def ebml_elements(data: bytes, start: int = 0, end: int | None = None, depth: in
             return
         head = name[1] + size[1]
         length = min(size[0], end - at - head) if size[0] != (1 << (7 * size[1])) - 1 else end - at - head
-        yield f"{name[0]:x}", at, size[0], data[at + head : at + head + min(length, BODY)]
+        yield f"{name[0]:x}", at, size[0], b"" if name[0] == _EBML_CLUSTER else data[at + head : at + head + min(length, BODY)]
         if name[0] in _EBML_MASTERS and depth < 8:
             yield from ebml_elements(data, at + head, at + head + length, depth + 1)
         at += head + length
@@ -297,17 +302,24 @@ def metadata_region(data: bytes) -> bytes:
 
 
 def trailer(data: bytes, window: int = 65536) -> bytes:
-    """What follows the container's end mark, from its last window bytes."""
+    """What follows the container's end mark, from its last window bytes.
+
+    An editor that leaves its mark behind the end may keep the value inside the scan: with its mark in the last half
+    megabyte, all of that is kept.  A file without a known end gives its last window.
+    """
     kind = sniff(data)
+    last = data[max(0, len(data) - QUICK) :]
+    if dims.SAMSUNG_MARKER.encode() in last and kind != "isobmff":
+        return last
     if kind == "png":
-        last = list(png_chunks(data))
-        return data[last[-1][1] + 12 :][-window:] if last and last[-1][0] == "IEND" else b""
+        at = last.rfind(b"IEND\xae\x42\x60\x82")
+        return (last[at + 8 :] if at >= 0 else last)[-window:]
     if kind == "jpeg":
-        at = data.rfind(b"\xff\xd9")
-        return data[at + 2 :][-window:] if at >= 0 else b""
+        at = last.rfind(b"\xff\xd9")
+        return (last[at + 2 :] if at >= 0 else last)[-window:]
     if kind in ("webp", "avi", "riff", "wav"):
-        return data[8 + int.from_bytes(data[4:8], "little") :][-window:]
-    return b""
+        return data[max(8 + int.from_bytes(data[4:8], "little"), len(data) - window) :]
+    return b"" if kind == "isobmff" else last[-window:]
 
 
 def metadata_pairs(data: bytes) -> dict[str, str]:
@@ -347,3 +359,11 @@ def tc260_payloads(data: bytes) -> list[str]:
     if sniff(data) == "isobmff":
         out += [body[at:].decode("utf-8", "replace").strip("\0") for n, _, _, body in iso_boxes(data) if ("ilst" in n or "udta" in n) and (at := body.find(b'{"')) >= 0 and b"Label" in body]
     return list(dict.fromkeys(out))
+
+
+def samsung_edit(data: bytes) -> int | None:
+    """The editor's non-zero type, where its container is in the head or, behind that, in the tail."""
+    for part in (data[:QUICK], data[max(QUICK, len(data) - QUICK) :]):
+        if dims.SAMSUNG_MARKER.encode() in part and (m := re.search(rb'genAIType"\s*:\s*(-?[0-9]{1,9})', part)):
+            return int(m.group(1)) or None
+    return None

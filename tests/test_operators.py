@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provquill.functions import pixels
 from provquill.operators import marks, sequences, verdict
-from provquill.plans.file_queries import tiny_png
+from provquill.plans.spelled import tiny_png
 from provquill.sources import files
 from provquill.streaming.runs import overlap
 

@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import random
 import struct
-import zlib
 
 import pytest
 
-from provquill.plans.file_queries import chunk, tiny_png
+from provquill.plans import spelled as S
+from provquill.plans.spelled import LABEL, chunk, png, riff, text_chunk, tiff, tiny_png
+from provquill.sources import credentials, files
 from provquill.sources import walkers as W
+from provquill.sources.ranged import BLOCK, Ranged
 
-
-def box(kind: bytes, body: bytes) -> bytes:
-    return struct.pack(">I", 8 + len(body)) + kind + body
-
-
-def riff(form: bytes, *chunks: tuple[bytes, bytes]) -> bytes:
-    body = form + b"".join(k + struct.pack("<I", len(b)) + b + b"\0" * (len(b) & 1) for k, b in chunks)
-    return b"RIFF" + struct.pack("<I", len(body)) + body
-
-
-def tiff(**tags: str) -> bytes:
-    names = {v: k for k, v in W._TIFF_TAGS.items()}
-    entries, heap, at = b"", b"", 8 + 2 + 12 * len(tags) + 4
-    for name, text in tags.items():
-        raw = text.encode() + b"\0"
-        raw += b"\0" * max(0, 5 - len(raw))
-        entries += struct.pack("<HHII", names[name], 2, len(raw), at + len(heap))
-        heap += raw
-    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + heap
-
-
-def vint(n: int) -> bytes:
-    return bytes([0x40 | n >> 8, n & 255])
-
-
-def ebml(name: int, body: bytes) -> bytes:
-    return name.to_bytes((name.bit_length() + 7) // 8, "big") + vint(len(body)) + body
-
-
-LABEL = '{"Label":"1","ContentProducer":"001X"}'
-JPEG = b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", 2 + 6 + len(tiff(Software="Midjourney"))) + b"Exif\0\0" + tiff(Software="Midjourney") + b"\xff\xc0\x00\x0b\x08\x00\x10\x00\x20\x01\x00\x11\x00" + b"\xff\xda\x00\x02" + b"\x12" * 9 + b"\xff\xd9trailing"
-MKV = b"\x1a\x45\xdf\xa3" + vint(0) + ebml(0x18538067, ebml(0x1254C367, ebml(0x7373, ebml(0x67C8, ebml(0x45A3, b"AIGC") + ebml(0x4487, LABEL.encode())))))
-AVI = riff(b"AVI ", (b"LIST", b"INFO" + b"AIGC" + struct.pack("<I", len(LABEL)) + LABEL.encode()))
-AMF = b"\x02\x00\x0aonMetaData" + b"\x03" + b"\x00\x04AIGC" + b"\x02" + struct.pack(">H", len(LABEL)) + LABEL.encode() + b"\x00\x00\x09"
-FLV = b"FLV\x01\x05" + struct.pack(">I", 9) + b"\0" * 4 + b"\x12" + len(AMF).to_bytes(3, "big") + b"\0" * 7 + AMF + b"\0" * 4
-MP4 = box(b"ftyp", b"isom\0\0\0\0") + box(b"moov", box(b"udta", box(b"meta", b"\0\0\0\0" + box(b"ilst", box(b"AIGC", LABEL.encode()))))) + box(b"uuid", b"provenance")
-FILES = {"png": tiny_png(("parameters", "x")), "jpeg": JPEG, "webp": riff(b"WEBP", (b"VP8 ", b"abc"), (b"EXIF", tiff(Artist="someone"))), "avi": AVI, "isobmff": MP4, "ebml": MKV, "flv": FLV}
+SOFTWARE, ARTIST = 0x0131, 0x013B
+JPEG = S.jpeg(S.segment(0xE1, b"Exif\0\0" + tiff({SOFTWARE: "Midjourney"})), after=b"trailing")
+MP4 = S.mp4(LABEL, S.box(b"uuid", b"provenance"))
+FILES = {"png": tiny_png(("parameters", "x")), "jpeg": JPEG, "webp": riff(b"WEBP", (b"VP8 ", b"abc"), (b"EXIF", tiff({ARTIST: "someone"}))), "avi": S.avi(LABEL), "isobmff": MP4, "ebml": S.mkv("AIGC", LABEL), "flv": S.flv("AIGC", LABEL)}
 
 
 @pytest.mark.parametrize("kind", sorted(FILES))
@@ -56,7 +26,7 @@ def test_sniff(kind):
 
 
 def test_png_text_and_trailer():
-    packed = tiny_png(("parameters", "a cat"))[:-12] + chunk(b"zTXt", b"Comment\0\0" + zlib.compress(b"hidden")) + chunk(b"IEND", b"") + b"after"
+    packed = png(text_chunk("Comment", "hidden", packed=True), early=text_chunk("parameters", "a cat")) + b"after"
     assert dict(W.png_text(packed)) == {"parameters": "a cat", "Comment": "hidden"}
     assert W.trailer(packed) == b"after"
     assert b"IDAT" not in W.metadata_region(packed)
@@ -110,3 +80,64 @@ def test_inventories_keep_every_entry(spark):
     df = spark.createDataFrame([("a.png", data)], "path string, content binary")
     assert files.walk(df).selectExpr("size(entries) AS n").first().n == 10_050
     assert len(json.loads(sinks.forensic_records(df).first().record)["entries"]) == 10_050
+
+
+def test_stores():
+    for data in (png(early=chunk(b"caBX", S.STORE)), S.jpeg(*S.app11(S.STORE)), riff(b"WEBP", (b"C2PA", S.STORE)), S.mp4(LABEL, S.uuid_box(S.STORE))):
+        store = credentials.store_of(credentials.store_bytes(data))
+        assert store["active_manifest"] == "urn:uuid:active" and len(store["manifests"]) == 3
+        found = credentials.summary(store)
+        assert (found["issuer"], found["claim_generator"], found["source_kind"], found["identity_ai"]) == ("OpenAI, Adobe", "ChatGPT", "generated", True)
+    broken = credentials.store_of(S.BROKEN)
+    assert [m["claim_generator"] for m in credentials.chain(broken)] == ["a camera"] and credentials.summary(broken)["source_kind"] is None
+    assert credentials.store_bytes(JPEG) == b"" and credentials.store_of(b"") is None
+
+
+def test_damaged_stores_never_raise():
+    r = random.Random(2)
+    for _ in range(1500):
+        b = bytearray(S.STORE[: r.randint(0, len(S.STORE))] if r.random() < 0.5 else S.STORE)
+        for _ in range(r.randint(0, 4)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(256)
+        store = credentials.store_of(bytes(b))
+        assert store is None or credentials.summary(store)
+
+
+def test_cbor_values():
+    value = {"a": [1, -5, 300, "text", True, False], "b": {"c": b"raw"}, "long": "x" * 300}
+    assert credentials.cbor(S.cbor(value)) == (value, len(S.cbor(value)))
+    assert credentials.cbor(b"\x9f\x01\x7f\x61a\x61b\xff\xff")[0] == [1, "ab"] and credentials.cbor(b"\xf9\x3c\x00")[0] == 1.0
+    for bad in (b"", b"\x5a\xff\xff\xff\xff", b"\x81" * 100, b"\x1c"):
+        with pytest.raises(credentials.Malformed):
+            credentials.cbor(bad)
+
+
+def test_ranged_reads_what_bytes_give():
+    r = random.Random(3)
+    data = bytes(r.randrange(256) for _ in range(3 * BLOCK + 77))
+    lazy = Ranged(io.BytesIO(data), len(data), kept=2)
+    for _ in range(300):
+        a, b = r.randint(-50, len(data) + 50), r.randint(-50, len(data) + 50)
+        assert lazy[a:b] == data[a:b]
+    assert lazy[5] == data[5] and lazy[-1] == data[-1] and lazy.startswith(data[:9]) and lazy.rfind(data[-BLOCK - 9 : -BLOCK]) == data.rfind(data[-BLOCK - 9 : -BLOCK])
+
+
+def test_heads_give_what_whole_files_give(spark, tmp_path):
+    """The same rows, but for the hash, from ranges of large files: pixels in between are not read."""
+    for name, data in S.FILES:
+        (tmp_path / f"{name}.{ {'png': 'png', 'jpeg': 'jpg', 'webp': 'webp', 'avi': 'avi', 'isobmff': 'mp4', 'ebml': 'mkv', 'flv': 'flv'}.get(W.sniff(data), 'png')}").write_bytes(data)
+    big = png(text_chunk("parameters", "late"), pixels=b"\x55" * (40 * BLOCK))
+    (tmp_path / "big.png").write_bytes(big)
+    columns = [c for c in files.walk_heads(spark, str(tmp_path)).columns if c != "sha256"]
+    whole, heads = (sorted(str(r) for r in w.select(columns).collect()) for w in (files.walk(files.read_files(spark, str(tmp_path))), files.walk_heads(spark, str(tmp_path))))
+    assert len(heads) >= len(S.FILES) and [x for x in heads if "empty" not in x] == whole
+    lazy = Ranged(io.BytesIO(big), len(big))
+    files._walked("x", lazy, 1000, files.T.Finder())
+    assert lazy.bytes_read <= 17 * BLOCK < len(big)  # the first and the last half megabyte, and the heads of chunks
+
+
+def test_bad_records_raise(spark):
+    for text in ('{"record_type":"metadata","schema_version":2,"status":"complete"}', '{"record_type":"metadata","schema_version":1,"status":"partial"}', '{"record_type":"pixels"}', "[]", None):
+        with pytest.raises(Exception, match="BadRecord"):
+            files.walk_records(spark.createDataFrame([("x", text)], "path string, record string")).collect()
