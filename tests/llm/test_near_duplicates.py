@@ -143,27 +143,41 @@ def plain_lines(rows, relation):
             if (abs(words[a] - words[b]) <= most or abs(len(a) - len(b)) <= most) and relation.linked(a, b):
                 near[a].append(b)
                 near[b].append(a)
+    sets = Sets()
+    for a in lines:
+        for b in near[a]:
+            sets.join(a, b)
+    least = {}
+    for a in lines:
+        least[sets.find(a)] = min(least.get(sets.find(a), first[a]), first[a])
     out = {k: [] for k in range(len(rows))}
     for place, k, line in seen:
-        c = min([first[line], *(first[m] for m in near[line])])
+        c = least[sets.find(line)]
         out[place].append((k, c[2], c[1], len(near[line]), c[:2] == (place, k)))
     return out
 
 
+def agree(got, want):
+    """Classes and fates are equal; a line has a verified link if it has any, and no more than it has."""
+    strip = lambda x: {i: [v[:3] + v[4:] for v in lines] for i, lines in x.items()}
+    assert strip(got) == strip(want)
+    for i, lines in want.items():
+        assert all(0 < g[3] <= w[3] or g[3] == w[3] == 0 for g, w in zip(got[i], lines, strict=True))
+
+
 def judged(df, relation, hot_pairs=line_dedup.HOT_PAIRS):
     return {r.doc_id: [tuple(v) for v in r.lines] for r in line_dedup.dedup_lines(df, relation, hot_pairs).collect()}
 
 
-@pytest.mark.parametrize("hot_pairs", [4, 60, 2_000_000])
-@pytest.mark.parametrize("distance", [1, 2, 3])
+@pytest.mark.parametrize("hot_pairs, distance", [(4, 2), (20, 3), (2_000_000, 1), (2_000_000, 2)])
 def test_line_dedup_finds_all_near_lines(spark, hot_pairs, distance):
     """Edits of code points: stems with many near copies, lines that share a beginning, an end, or both."""
     r = random.Random(11)
     stems = ["".join(r.choices("abcdefgh é中", k=r.randint(16, 60))).strip() + "xxxxxxxxxxxxxxxx" for _ in range(12)]
     shared = "a boilerplate beginning that very many lines share, number "
-    rows = [(d, "\n".join([edited(r, r.choice(stems), r.randint(0, 2)) for _ in range(4)] + [shared + str(r.randint(0, 400)), f"{r.randint(0, 90)} <- {shared}", "short", "   ", shared[:20] + str(r.randint(0, 90)) + shared[20:]])) for d in range(60)]
+    rows = [(d, "\n".join([edited(r, r.choice(stems), r.randint(0, 2)) for _ in range(4)] + [shared + str(r.randint(0, 400)), f"{r.randint(0, 90)} <- {shared}", "short", "   ", shared[:20] + str(r.randint(0, 90)) + shared[20:]])) for d in range(40)]
     relation = line_dedup.Relation(distance, 16, 99, ())
-    assert judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs) == plain_lines(rows, relation)
+    agree(judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs), plain_lines(rows, relation))
 
 
 @pytest.mark.parametrize("hot_pairs", [4, 2_000_000])
@@ -179,14 +193,14 @@ def test_line_dedup_compares_long_lines_by_words(spark, hot_pairs):
             words[at : at + 1] = r.choice([[], [words[at], "new"], [str(r.randint(0, 3))], [words[at] + "s"]])
         return r.choice([" ", " ", "  "]).join(words)
 
-    rows = [(d, "\n".join(changed(r.choice(stems)) for _ in range(6))) for d in range(70)]
+    rows = [(d, "\n".join(changed(r.choice(stems)) for _ in range(6))) for d in range(50)]
     relation = line_dedup.Relation(2, 16, 10, ((10, 1), (20, 2), (40, 4)))
     want = plain_lines(rows, relation)
-    assert judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs) == want
-    assert sum(v[3] for x in want.values() for v in x) > 500
+    agree(judged(spark.createDataFrame(rows, "doc_id long, text string"), relation, hot_pairs), want)
+    assert sum(v[3] for x in want.values() for v in x) > 250
 
 
-def test_lines_that_share_a_beginning_or_an_end(spark):
+def test_lines_that_share_a_beginning_or_an_end(spark, monkeypatch):
     """No pair of them is enumerated but those that the rest of the lines joins."""
     r = random.Random(13)
     tail = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=40))
@@ -195,12 +209,19 @@ def test_lines_that_share_a_beginning_or_an_end(spark):
     lines += [lines[5][:-1] + "#", lines[5000][:3] + lines[5000][4:]]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string").repartition(4)
     relation = line_dedup.Relation()
-    buckets = np.array(line_dedup.routing_keys(spark, 4), dtype=np.int64)
-    found = line_dedup.matched(line_dedup.signed_lines(df, buckets, relation), 100_000).cache()
-    cold, hot = found.where("NOT hot"), found.where("hot").selectExpr("key", "a AS h1", "b AS role")
-    pairs = cold.select("a", "b").union(line_dedup._hot_pairs_of(hot, df, buckets, relation, 100_000)).count()
-    assert hot.count() >= 8000 and pairs < 8000
+    asked = []
+    plain = line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, *rest: asked.append(pairs.distinct().count()) or plain(pairs, *rest))
     assert line_dedup.linked_lines(df, relation, 100_000).count() == 2
+    assert len(asked) > 2 and sum(asked) < 2 * len(lines)
+
+
+def test_a_crowd_of_near_lines_makes_few_links(spark):
+    """A thousand lines that are all linked: about as many links as lines, not their square."""
+    words = [f"w{k}" for k in range(50)]
+    lines = [" ".join([*words[:10], f"x{n}", *words[11:]]) for n in range(1000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    assert 999 <= line_dedup.linked_lines(df, line_dedup.Relation()).count() <= 4000
 
 
 def test_line_dedup_query_and_stage(spark, awkward, nothing):
@@ -209,7 +230,7 @@ def test_line_dedup_query_and_stage(spark, awkward, nothing):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = {rows[k][0]: v for k, v in plain_lines(rows, line_dedup.Relation()).items()}
     got = {r.doc_id: r for r in llm.queries()["op1_line_dedup"](spark, sf).collect()}
-    assert {i: [tuple(v) for v in r.lines] for i, r in got.items()} == want
+    agree({i: [tuple(v) for v in r.lines] for i, r in got.items()}, want)
     assert all(r.n_removed == sum(not v.kept for v in r.lines) and r.n_links == sum(v.n_links for v in r.lines) for r in got.values())
     gone = {i: {v[0] for v in x if not v[4]} for i, x in want.items()}
     stage = line_dedup.line_dedup_stage(spark, docs, sf)
