@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, small_batches, table, without, write_shared
+from .common import bare, forget_worker_state, materialize, release, small_batches, table, without
 
 WINDOW = 13
 #: Words of a shard, and the gap between its documents.
 SHARD_WORDS, GAP = 1_000_000, 64
 #: Words to either side of the rarest term in which a proximity match has all of a window's terms.
 SLOP = 26
+#: Distinct words of items up to which the index holds their postings only.
+VOCABULARY = 2_000_000
 #: Characters of items that are sent to the shards at a time.
 BLOCK_CHARS = 8_000_000
 
@@ -228,21 +231,27 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
+def vocabulary_of(benchmark: DataFrame, most: int = VOCABULARY) -> set[bytes] | None:
+    """The distinct words of the items; None, for an index of all terms, where they are more than the driver should hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in words_of(t)}), pa.binary())], names=["word"])
+
+    words = materialize(bare(benchmark, "text").mapInArrow(run, "word binary").distinct(), "vocabulary")
+    found = None if words.count() > most else {bytes(r.word) for r in words.collect()}
+    release(words)
+    return found
+
+
 def match(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every document with its exact and proximity matches: see _FOUND; ranges are word numbers, end exclusive."""
-    spark = docs.sparkSession
-    found: DataFrame | None = None
-    blocks = 0
-    for block in item_blocks(benchmark, block_chars):
-        vocabulary = {w for _, text in block for w in words_of(text)}
-        index = spark.read.schema(_POSTINGS).parquet(write_shared(build_index(docs, vocabulary), "postings"))
-        part = search(index, block, size, slop)
-        found = part if found is None else found.union(part)
-        blocks += 1
-    if found is None:
-        index = spark.read.schema(_POSTINGS).parquet(write_shared(build_index(docs, set()), "postings"))
-        return search(index, [], size, slop)
-    return found if blocks == 1 else _merge_blocks(found)
+    index = materialize(build_index(docs, vocabulary_of(benchmark)), "postings")
+    parts = [materialize(search(index, block, size, slop), "matches") for block in item_blocks(benchmark, block_chars)]
+    if not parts:
+        parts = [materialize(search(index, [], size, slop), "matches")]
+    release(index)
+    return parts[0] if len(parts) == 1 else _merge_blocks(reduce(DataFrame.union, parts))
 
 
 def with_verdict(found: DataFrame) -> DataFrame:
