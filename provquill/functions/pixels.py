@@ -155,3 +155,25 @@ def pixel_evidence(images: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _FEATURES.split(", ")])
 
     return images.select("path", "height", "width", "channels", "data").mapInPandas(run, _FEATURES)
+
+
+def ssim(a: np.ndarray, b: np.ndarray, window: int = 7, peak: float = 255.0) -> float:
+    """Mean structural similarity of two gray rasters over all full windows (uniform weights, sample variances)."""
+    if a.shape != b.shape or min(a.shape) < window:
+        raise ValueError("rasters of one shape, no smaller than the window")
+
+    def mean(x: np.ndarray) -> np.ndarray:
+        total = np.pad(x, ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+        return (total[window:, window:] - total[:-window, window:] - total[window:, :-window] + total[:-window, :-window]) / window**2
+
+    a, b = a.astype(float), b.astype(float)
+    ma, mb, scale = mean(a), mean(b), window**2 / (window**2 - 1)
+    va, vb, cov = (scale * (mean(x * y) - mean(x) * mean(y)) for x, y in ((a, a), (b, b), (a, b)))
+    c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
+    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+
+
+def coarse_map(gray: np.ndarray, side: int = 8) -> list[float]:
+    """Mean of each cell of a side x side grid, row by row; cells differ by one row or column at most."""
+    rows, columns = (np.linspace(0, n, side + 1).astype(int) for n in gray.shape)
+    return [float(gray[r0 : max(r1, r0 + 1), c0 : max(c1, c0 + 1)].mean()) for r0, r1 in zip(rows[:-1], rows[1:], strict=True) for c0, c1 in zip(columns[:-1], columns[1:], strict=True)]

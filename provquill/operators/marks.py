@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.probes import uscc
+from ..functions.probes import iou, uscc
 from . import dims
+from .shared import materialize
 
 # Marks of the same label regime whose presence names another product.
 REGIME = ("doubao", "qwen", "kling", "yuanbao", "baidu", "liblib", "runninghub")
@@ -19,6 +20,40 @@ def gates(scores: DataFrame, mark: str = "mark", score: str = "score") -> DataFr
     return scores.join(F.broadcast(d), F.col(mark) == F.col("_m")).withColumn("strict", F.col(score) >= F.col("gate")).withColumn("relaxed", F.col(score) >= F.col("gate") * F.col("_f")).drop("_m", "_f", "gate")
 
 
+def rival_margin(scores: DataFrame, by: tuple[str, ...] = ("path", "blob"), mark: str = "mark", score: str = "score") -> DataFrame:
+    """Adds margin: a mark's score less the best score that one of its rivals has on the same blob; null without a rival's score.
+
+    Rivals are a dimension of a few rows, so the scores meet each other once per blob and rival.
+    """
+    rivals = dims.marks(scores.sparkSession).select(F.col("mark").alias("_m"), F.explode("rivals").alias("_rival"))
+    own = scores.join(F.broadcast(rivals), F.col(mark) == F.col("_m"), "left").drop("_m")
+    other = scores.groupBy(*by, F.col(mark).alias("_rival")).agg(F.max(score).alias("_best"))
+    met = own.join(other, [*by, "_rival"], "left").groupBy(*scores.columns).agg(F.max("_best").alias("_best"))
+    return met.withColumn("margin", F.col(score) - F.col("_best")).drop("_best")
+
+
+def best_rung(scores: DataFrame, by: tuple[str, ...], rung: str = "rung", score: str = "score") -> DataFrame:
+    """Per group the rung of the highest score, the earliest on a tie; a group in which no score is over 0 has no rung and score 0."""
+    best = scores.groupBy(*by).agg(F.max_by(F.struct(rung, score), F.struct(F.col(score), -F.col(rung))).alias("_b"))
+    return best.select(*by, F.when(F.col(f"_b.{score}") > 0, F.col(f"_b.{rung}")).alias(rung), F.greatest(F.lit(0.0), F.coalesce(F.col(f"_b.{score}"), F.lit(0.0))).alias(score))
+
+
+def top_apart(candidates: DataFrame, by: str, k: int = 3, score: str = "score", region: str = "region", most: float = 0.0) -> DataFrame:
+    """Per group the k best candidates of which none overlaps a better one by more than most, ties by place.
+
+    In k rounds each takes the best that is left and drops what overlaps it, so no group is gathered in one task.
+    """
+    left = candidates.withColumn("_o", F.struct(F.col(score), -F.col(f"{region}.y"), -F.col(f"{region}.x")))
+    taken: DataFrame | None = None
+    for rank in range(1, k + 1):
+        best = materialize(left.groupBy(by).agg(F.max_by(F.struct(*candidates.columns), "_o").alias("_b")).select("_b.*").withColumn("rank", F.lit(rank)), "taken")
+        taken = best if taken is None else taken.union(best)
+        if rank < k:
+            met = best.select(F.col(by).alias("_by"), F.col(region).alias("_r"))
+            left = materialize(left.join(met, (F.col(by) == F.col("_by")) & ((iou(F.col(region), F.col("_r")) > most) | (F.col(region) == F.col("_r"))), "left_anti"), "candidates")
+    return taken
+
+
 def keep_pill(fired: Column, provenance: Column, flat: Column) -> Column:
     """Never beside another product's mark; with the own word mark; else only on a flat ground that provenance vouches for."""
     other = F.arrays_overlap(fired, F.array(*[F.lit(m) for m in REGIME]))

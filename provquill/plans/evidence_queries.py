@@ -245,6 +245,41 @@ def f22_mark_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates(scores).select("p_partkey", "mark", "strict", "relaxed")
 
 
+@query("""WITH s AS (SELECT p_partkey AS path, m AS mark, ((p_size * k) % 97) / 97.0 AS score FROM part, (VALUES ('doubao', 7), ('qwen', 13), ('jimeng', 5), ('baidu', 3)) d(m, k)), r(mark, rival) AS (VALUES ('jimeng', 'doubao'), ('baidu', 'doubao'), ('baidu', 'qwen'))
+SELECT s.path, s.mark, round(s.score, 6) AS score, round(s.score - max(o.score), 6) AS margin FROM s LEFT JOIN r ON r.mark = s.mark LEFT JOIN s o ON o.path = s.path AND o.mark = r.rival GROUP BY s.path, s.mark, s.score""")
+def j11_rival_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margin of a mark's score over its best rival on the same blob."""
+    from ..operators.marks import rival_margin
+
+    marks = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(k).alias("k")) for m, k in (("doubao", 7), ("qwen", 13), ("jimeng", 5), ("baidu", 3))])
+    s = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), "p_size", F.explode(marks).alias("x")).select("path", F.col("x.mark").alias("mark"), (F.pmod(F.col("p_size") * F.col("x.k"), F.lit(97)) / 97.0).alias("score"))
+    return rival_margin(s, ("path",)).select("path", "mark", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS path, r AS rung, greatest((p_size * (r + 3)) % 50 - 25, -5) / 25.0 AS score FROM part, range(0, 6) t(r)),
+b AS (SELECT path, rung, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, rung) AS k FROM s) SELECT path, CASE WHEN score > 0 THEN rung END AS rung, round(greatest(score, 0), 6) AS score FROM b WHERE k = 1""")
+def t02_best_rung(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rung of a scale ladder, the earliest on a tie, none under a score of 0."""
+    from ..operators.marks import best_rung
+
+    r = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), "p_size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("rung"))
+    s = r.select("path", "rung", (F.greatest(F.pmod(F.col("p_size") * (F.col("rung") + 3), F.lit(50)) - 25, F.lit(-5)) / 25.0).alias("score"))
+    return best_rung(s, ("path",)).select("path", "rung", F.round("score", 6).alias("score"))
+
+
+@query("""WITH c AS (SELECT p_brand AS path, p_partkey AS id, (p_partkey * 7) % 1000 AS x, ((p_partkey * 13) % 89) / 89.0 AS score FROM part),
+g AS (SELECT path, list({'id': id, 'x': x, 's': score} ORDER BY score DESC, x, id) AS p FROM c GROUP BY path),
+t AS (SELECT path, unnest(list_reduce(list_transform(p, lambda c: [c]), lambda taken, n: CASE WHEN len(taken) >= 3 OR len(list_filter(taken, lambda y: abs(y.x - n[1].x) < 40)) > 0 THEN taken ELSE list_concat(taken, n) END)) AS z FROM g)
+SELECT path, z.x AS x, round(z.s, 6) AS score FROM t""")
+def t01_top_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best candidates of a group that do not overlap."""
+    from ..operators.marks import top_apart
+
+    k = F.col("p_partkey")
+    c = load(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), (F.pmod(k * 13, F.lit(89)) / 89.0).alias("score"), F.struct(F.pmod(k * 7, F.lit(1000)).alias("x"), F.lit(0).alias("y"), F.lit(40).alias("w"), F.lit(20).alias("h")).alias("region"))
+    return top_apart(c, "path").select("path", F.col("region.x").alias("x"), F.round("score", 6).alias("score"))
+
+
 @query("SELECT p_partkey, greatest(p_size * 3 - 8 * p_size // 10 - 5, 0) AS x, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS tier FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
 def f18_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size tier and placement by integer arithmetic."""

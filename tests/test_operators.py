@@ -206,3 +206,17 @@ def test_images_to_pixel_evidence(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(tiny_png())
     r = pixels.pixel_evidence(files.read_images(spark, str(tmp_path))).first()
     assert r.path.endswith("a.png") and r.status == "complete" and r.phash is not None
+
+
+def test_ssim_and_coarse_maps():
+    r = np.random.default_rng(4)
+    a = r.integers(0, 256, (23, 31)).astype(float)
+    b = np.clip(a + r.normal(0, 20, a.shape), 0, 255)
+    total = []
+    for y in range(a.shape[0] - 6):
+        for x in range(a.shape[1] - 6):
+            p, q = a[y : y + 7, x : x + 7].ravel(), b[y : y + 7, x : x + 7].ravel()
+            c = np.cov(p, q)
+            total.append((2 * p.mean() * q.mean() + 6.5025) * (2 * c[0, 1] + 58.5225) / ((p.mean() ** 2 + q.mean() ** 2 + 6.5025) * (c[0, 0] + c[1, 1] + 58.5225)))
+    assert abs(pixels.ssim(a, b) - np.mean(total)) < 1e-9 and pixels.ssim(a, a) == pytest.approx(1)
+    assert pixels.coarse_map(np.arange(16.0).reshape(4, 4), 2) == [2.5, 4.5, 10.5, 12.5] and len(pixels.coarse_map(a)) == 64
