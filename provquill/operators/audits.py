@@ -22,9 +22,15 @@ def bucket(value: Column, edges: tuple[float, ...], labels: tuple[str, ...]) ->
 
 
 def statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, nearest-rank p50, p90 and p99, and the mean of the rows that have a value."""
-    rank = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return df.where(f"{value} IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), rank(0.5).alias("p50"), rank(0.9).alias("p90"), rank(0.99).alias("p99"), F.round(F.avg(value), 6).alias("mean"))
+    """n, nearest-rank p50, p90 and p99, and the mean of the rows that have a value.
+
+    Equal values are counted first and a running count finds the ranks, so no group's values are held in a buffer.
+    """
+    per = df.where(f"{value} IS NOT NULL").groupBy(*by, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    ranked = per.withColumns({"_to": F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    rank = lambda q: F.min(F.when(F.col("_to") >= F.ceil(F.col("_all") * q - 1e-9), F.col(value)))
+    return ranked.groupBy(*by).agg(F.sum("_n").alias("n"), rank(0.5).alias("p50"), rank(0.9).alias("p90"), rank(0.99).alias("p99"), F.round(F.sum(F.col(value) * F.col("_n")) / F.sum("_n"), 6).alias("mean"))
 
 
 def segmented_statistics(df: DataFrame, segments: dict[str, Column], value: str) -> DataFrame:
