@@ -13,11 +13,12 @@ their ids), ``max_marks`` marks.  Scoring reads every whole text in one pass, wi
 
 Defined results: null and empty texts get the score of a text without any mark; ties in the choice of
 marks go by spelling; repeated rows are scored each; an empty table gives an empty one; without a confirmed
-example every score is 0; further columns are ignored, whatever their names.
+example every score is sigmoid(-30), less than 1e-12; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,18 +40,30 @@ DECIDE_AT = 0.7
 STEMS, COUNTS, SHARES = (4, 5, 6, 7, 8), (2, 4, 8), (1, 2, 4, 8)
 
 
-def stem_counts(text: str | None) -> tuple[int, Counter[str]]:
-    """(words, counts of whole words, written word$, and of stems, written ^letters) of a whole text."""
-    words = b" ".join(words_of(text)).decode("utf-8", "surrogatepass").split(" ")
-    out: Counter[str] = Counter()
+class StemTable(dict):
+    """Word -> its own mark (word$) and those of its stems (^letters); with wanted ones only these.  Each word is spelled once."""
+
+    def __init__(self, wanted: set[str] | None = None) -> None:
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: bytes) -> tuple[str, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        w = word.decode("utf-8", "surrogatepass")
+        found = (f"{w}$", *(f"^{w[:k]}" for k in STEMS if len(w) >= k))
+        out = self[word] = found if self.wanted is None else tuple(s for s in found if s in self.wanted)
+        return out
+
+
+def stem_counts(text: str | None, stems: StemTable) -> tuple[int, dict[str, int]]:
+    """(words, counts of the table's marks) of a whole text."""
+    words = words_of(text)
+    out: dict[str, int] = {}
     for w, n in Counter(words).items():
-        if w:
-            out[f"{w}$"] = n
-            for k in STEMS:
-                if len(w) < k:
-                    break
-                out[f"^{w[:k]}"] += n
-    return sum(n for w, n in out.items() if w[-1] == "$"), out
+        for s in stems[w]:
+            out[s] = out.get(s, 0) + n
+    return len(words), out
 
 
 def marks_of(stem: str, n: int, words: int) -> list[str]:
@@ -63,11 +76,11 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        self.stems = {m.split(" ")[0] for m in self.weights}
+        self.stems = StemTable({m.split(" ")[0] for m in self.weights})
 
     def score(self, text: str | None) -> float:
-        words, counts = stem_counts(text)
-        z = self.bias + sum(self.weights.get(m, 0.0) for s in self.stems & counts.keys() for m in marks_of(s, counts[s], words))
+        words, counts = stem_counts(text, self.stems)
+        z = self.bias + math.fsum(self.weights.get(m, 0.0) for s, n in counts.items() for m in marks_of(s, n, words))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
@@ -105,10 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive
     small_batches(docs.sparkSession)
 
     def all_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stems = StemTable()
         for batch in batches:
             found = []
             for text in batch.column(2).to_pylist():
-                words, counts = stem_counts(text)
+                words, counts = stem_counts(text, stems)
                 found.append([m for s, n in counts.items() for m in marks_of(s, n, words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "pos", "marks"])
 

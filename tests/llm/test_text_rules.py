@@ -16,7 +16,7 @@ import pytest
 
 from provquill import llm
 from provquill.llm import pii, quality_rules, secrets, toxicity
-from provquill.llm.common import table
+from provquill.llm.common import materialize, table
 from provquill.llm.spans import Taken
 
 
@@ -169,6 +169,120 @@ def test_toxicity(spark):
     assert sum(labels[i] for i in hit) >= 0.9 * sum(labels[i] for i in held)
 
 
+def plain_marks(t):
+    """Marks of a text, from their description: words and stems, at least counts and least shares."""
+    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    n = collections.Counter()
+    for x in w:
+        n[x + "$"] += 1
+        for k in (4, 5, 6, 7, 8):
+            if len(x) >= k:
+                n["^" + x[:k]] += 1
+    return {m for s, c in n.items() for m in [s, *(f"{s} n{k}" for k in (2, 4, 8) if c >= k), *(f"{s} s{k}" for k in (1, 2, 4, 8) if 100 * c >= k * len(w))]}
+
+
+def test_toxicity_scores_equal_a_plain_learner(spark):
+    """All of a small table fits the bounds of the sample, so the whole learner can be written plainly."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    learns = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    known = [y for i, y in labels.items() if learns(i)]
+    prior = min(0.9, max(sum(known) / len(known), 1e-3))
+    marks = {i: plain_marks(t) for i, t in texts.items()}
+    u = [i for i in texts if learns(i)]
+    p = [i for i in u if labels.get(i) == 1]
+    in_p, in_u = collections.Counter(m for i in p for m in marks[i]), collections.Counter(m for i in u for m in marks[i])
+    worth = {m: np.log((in_p[m] + 0.1) / len(p)) - np.log((in_u[m] + 0.5) / len(u)) for m in in_p if in_p[m] >= max(2, 0.02 * len(p))}
+    chosen = sorted((m for m, r in worth.items() if r > 0.4 * -np.log(prior)), key=lambda m: (-in_p[m] * worth[m], m))[:400]
+    xp, xu = (np.array([[m in marks[i] for m in chosen] + [True] for i in ids], dtype=float) for ids in (p, u))
+    theta = np.zeros(len(chosen) + 1)
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, 601):
+        sp, su = 1 / (1 + np.exp(-xp @ theta)), 1 / (1 + np.exp(-xu @ theta))
+        bracket = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
+        g = (su[:, None] * xu).mean(0) - prior * (sp[:, None] * xp).mean(0)
+        g = prior * ((sp - 1)[:, None] * xp).mean(0) + g if bracket >= 0 else -g
+        g[:-1] += 2e-4 * theta[:-1]
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        theta -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    got = {r.doc_id: r.score for r in llm.queries()["op6_toxicity"](spark, sf).collect()}
+    want = {i: 1 / (1 + np.exp(-(theta[-1] + sum(theta[k] for k, m in enumerate(chosen) if m in marks[i])))) for i in texts}
+    assert len(chosen) > 50 and max(abs(got[i] - want[i]) for i in texts) < 1e-4
+
+
+def plain_rules(rows, labels, bins=24):
+    """The decision list by its description; rows: (doc_id, words, chars, symbols, dup lines, lines, repeats, upper, exclaim)."""
+    import struct
+
+    import xxhash
+
+    names = ("dup_line_share", "exclaim_share", "log_words", "mean_word_chars", "repeat_share", "symbol_share", "upper_share")
+    one = lambda x: max(x, 1)
+    data = []
+    for i, w, c, s, d, n, p, u, e in rows:
+        if i in labels:
+            f = dict(zip(names, (d / one(n), e / one(w), np.log2(one(w)), c / one(w), p / one(w), s / one(c), u / one(c)), strict=True))
+            data.append((f, labels[i] == 0, xxhash.xxh64_intdigest(struct.pack("<q", i), 42)))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    data = [(f, bad, signed(h) % 3 == 0) for f, bad, h in data]
+    cuts = {}
+    for name in names:
+        found = set()
+        for side in (True, False):
+            v = sorted(f[name] for f, bad, _ in data if bad == side)
+            found |= {v[max(0, int(np.ceil(k / bins * len(v))) - 1)] for k in range(bins + 1)} if v else set()
+        cuts[name] = sorted(found)
+    fires = lambda rule, f: all((f[n] >= t) if above else (f[n] < t) for n, above, t in rule)
+    total, rules, left = sum(bad for _, bad, _ in data), [], data
+    while total and len(rules) < 8:
+        rule = []
+        grown = [x for x in left if not x[2]]
+        while len(rule) < 3:
+            bad, good = sum(x[1] for x in grown), sum(not x[1] for x in grown)
+            best = (0.0, None, 0)
+            for name in sorted(names) if bad and good else ():
+                for cut in cuts[name]:
+                    for above in (False, True):
+                        inside = [x[1] for x in grown if (x[0][name] >= cut) == above]
+                        b, g = sum(inside), len(inside) - sum(inside)
+                        if b and (gain := b * (np.log2(b / (b + g)) - np.log2(bad / (bad + good)))) > best[0] + 1e-9:
+                            best = (gain, (name, above, cut), g)
+            if best[1] is None:
+                break
+            rule.append(best[1])
+            grown = [x for x in grown if fires([best[1]], x[0])]
+            if not best[2]:
+                break
+        worth, kept = -2.0, None
+        for n in range(1, len(rule) + 1):
+            inside = [x[1] for x in left if x[2] and fires(rule[:n], x[0])]
+            b, g = sum(inside), len(inside) - sum(inside)
+            if inside and (b - g) / (b + g) > worth:
+                worth, kept = (b - g) / (b + g), (rule[:n], b, g)
+        if kept is None or kept[1] / max(1, kept[1] + kept[2]) < 0.97 or kept[1] < 0.01 * total / 3:
+            break
+        rules.append(kept[0])
+        left = [x for x in left if not fires(kept[0], x[0])]
+    return rules
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_verdicts_equal_a_plain_learner(spark, sf):
+    sf = f"/root/testdata/{sf}"
+    docs = table(spark, sf, "documents").collect()
+    rows = []
+    for r in docs:
+        n, c, s, d, p, failed = base_stats(r.text)
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        rows.append((failed, (r.doc_id, n, c, s, d, len(lines), p, len(re.findall("[A-Z]", r.text or "")), (r.text or "").count("!"))))
+    labels = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect() if r.quality is not None}
+    stats = materialize(quality_rules.document_statistics(table(spark, sf, "documents").select("doc_id", "text")).drop("text"), "statistics")
+    learnt = [[(c.feature, c.above, c.threshold) for c in rule.conditions] for rule in quality_rules.learn(stats, table(spark, sf, "labels")).rules]
+    want = plain_rules([x for failed, x in rows if not failed], labels)
+    assert [[(n, a, round(t, 9)) for n, a, t in rule] for rule in learnt] == [[(n, a, round(float(t), 9)) for n, a, t in rule] for rule in want] and want
+
+
 def test_toxicity_never_reads_held_out_labels(spark, awkward, nothing):
     labels = spark.createDataFrame([(i, 1) for i in range(1, 200) if zlib.crc32(str(i).encode()) % 3 == 1], "doc_id long, toxic int")
     model = toxicity.train(awkward, labels)
