@@ -190,7 +190,7 @@ def _hashes(sets: list[bytes]) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(row_no, doc_id, set, n, keys, variants, shingles) of (row_no, doc_id, text).
+    """(key, doc_id, set, n, keys, variants, shingles) of (key, doc_id, text).
 
     set is the hash of a text's shingle set, n its size, shingles its sorted hashes; variants are the hashes of the
     set without one shingle each.
@@ -209,9 +209,9 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 ids = _hashes(raw)
                 less = [_hashes([x[: 8 * k] + x[8 * k + 8 :] for k in range(len(x) // 8)]) if 5 <= len(x) // 8 <= SMALL else [] for x in raw]
                 columns = [part.column(0), part.column(1), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "doc_id", "set", "n", "keys", "variants", "shingles"])
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "set", "n", "keys", "variants", "shingles"])
 
-    return rows.mapInArrow(run, "row_no long, doc_id long, set long, n long, keys array<long>, variants array<long>, shingles binary")
+    return rows.mapInArrow(run, "key long, doc_id long, set long, n long, keys array<long>, variants array<long>, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,33 +253,82 @@ def similar_links(known: DataFrame) -> DataFrame:
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     # The pivots have met all members; the others of different components have not met.
     rest = materialize(placed.where("NOT met").join(open_keys, "key", "left_semi"), "open-members")
-    left = rest.select("key", F.col("set").alias("a"), F.col("n").alias("m"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("set").alias("b"), "n", F.col("component").alias("cb"))
-    pairs = materialize(left.join(right, "key").where(f"a < b AND ca <> cb AND {fit}").select("a", "b").distinct(), "open-pairs")
-    found = stars.union(similar(pairs, known))
+    found = materialize(stars.union(joined_sets(rest, known)), "set-links")
     release(distinct, members, placed, rest)
     return found
 
 
+def joined_sets(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): verified links that join the components of a key's members wherever any links do.
+
+    A task goes through the pairs of its keys in order and passes over those whose components it has joined already.
+    """
+    over, under = SIMILAR
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = members.select("set").distinct()
+    sets = known.select("set", "shingles").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
+    rows = members.select("key", "set", "component").join(sets, "set").select(F.pmod(F.xxhash64("key"), F.lit(4 * partitions)).alias("bucket"), "key", "set", "component", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, group = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "set", "component"))
+        order = np.lexsort((ids, key))
+        key, ids, group = key[order], ids[order], group[order]
+        raw = table.column("shingles").combine_chunks().take(pa.array(order))
+        shingles = [np.frombuffer(raw[k].as_py(), dtype=np.uint64) for k in range(len(raw))]
+        sizes = np.fromiter(map(len, shingles), dtype=np.int64, count=len(shingles))
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        seen: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            for i in range(at, to):
+                fits = (group[i + 1 : to] != group[i]) & (under * np.minimum(sizes[i + 1 : to], sizes[i]) >= over * np.maximum(sizes[i + 1 : to], sizes[i]))
+                for j in (np.flatnonzero(fits) + i + 1).tolist():
+                    x, y, pair = find(int(group[i])), find(int(group[j])), (int(ids[i]), int(ids[j]))
+                    if x != y and pair not in seen:
+                        seen.add(pair)
+                        both = int(sizes[i] + sizes[j])
+                        common = both - len(np.unique(np.concatenate((shingles[i], shingles[j]))))
+                        if under * common >= over * (both - common):
+                            up[x] = y
+                            out.append(pair)
+        return pa.Table.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
 def near_copies(rows: DataFrame) -> DataFrame:
-    """(row_no, first) of stored (row_no, doc_id, text): the first row that a chain of texts with similar shingle sets reaches.
+    """(key, first, n) of (key, doc_id, text), once for every key: the first key that a chain of texts with similar shingle sets reaches, and the key's rows.
 
-    Rows are in the order of doc_id, those without one last, then of row_no.
+    Keys are in the order of doc_id, those without one last, then of the key.
     """
     known = materialize(shingle_sets(rows), "shingle-sets")
     reached = components(similar_links(known)).select(F.col("node").alias("set"), "component")
     # Copies are counted down to sets first, so a set that a third of the rows share is one row in what follows.
-    firsts = known.groupBy("set").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "row_no")).alias("first"))
+    firsts = known.groupBy("set").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "key")).alias("first"))
     rooted = materialize(firsts.join(reached, "set", "left").select("set", "first", F.coalesce("component", "set").alias("root")), "rooted-sets")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    by_set = rooted.join(least, "root").select("set", F.col("least.row_no").alias("first"))
-    out = materialize(known.select("row_no", "set").join(by_set, "set").select("row_no", "first"), "near-copies")
-    release(known)
+    by_set = rooted.join(least, "root").select("set", F.col("least.key").alias("first"))
+    per_key = known.groupBy("key", "set").agg(F.count("*").alias("n"))
+    out = materialize(per_key.join(by_set, "set").select("key", "first", "n"), "near-copies")
+    release(known, rooted)
     return out
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component stays: the one with the smallest doc_id (of rows that repeat it or have none: the first by row number)."""
-    keyed = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("row_no")), "numbered-rows")
-    found = near_copies(keyed.select("row_no", "_row.doc_id", "_row.text"))
-    return without(keyed, found.where("row_no <> first").select("row_no"), "row_no").select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """One row of each component stays: the one with the smallest doc_id (of different texts that share it or have none the one with the smallest hash, of equal rows any)."""
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("key"))
+    found = near_copies(keyed.select("key", "_row.doc_id", "_row.text"))
+    kept = without(keyed, found.where("key <> first").select("key"), "key")
+    repeated = materialize(found.where("key = first AND n > 1").select("key"), "repeated-rows")
+    rows = lambda df: df.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    if repeated.isEmpty():
+        return rows(kept)
+    single = kept.join(repeated, "key", "left_anti")
+    return rows(single.union(kept.join(repeated, "key", "left_semi").dropDuplicates(["key"]).select(single.columns)))
