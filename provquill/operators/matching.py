@@ -1,12 +1,22 @@
-"""Greedy one-to-one matching inside groups."""
+"""Matching inside groups: greedy one-to-one pairs, nearest values."""
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from heapq import merge
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules["provquill"])
+
 
 def greedy_pairs(candidates: DataFrame, by: str, left: str, right: str, score: str, least: float = 0.0) -> DataFrame:
     """Pairs taken from the highest score on (ties by left, then right), each side used once.
@@ -25,3 +35,67 @@ def greedy_pairs(candidates: DataFrame, by: str, left: str, right: str, score: s
         if best.isEmpty():
             return taken.select(F.col("_by").alias(by), F.col("_l").alias(left), F.col("_r").alias(right), F.col("_s").alias(score))
         rest = materialize(rest.join(best.select("_by", "_l"), ["_by", "_l"], "left_anti").join(best.select("_by", "_r"), ["_by", "_r"], "left_anti").select("_by", "_l", "_r", "_s"), "candidates")
+
+
+def nearest_taken(left: list[tuple[float, int]], right: list[tuple[float, int]], most: float) -> Iterator[tuple[int, int, float]]:
+    """(left key, right key, distance): pairs of (value, key) taken from the least distance on, ties by left, then right key, each key used once.
+
+    Keys of one value wait in one queue, so the pairs of values are looked at and never the pairs of keys.
+    """
+    sides = []
+    for items in (left, right):
+        queues: dict[float, list[int]] = {}
+        for value, key in sorted(set(items), key=lambda x: x[1]):
+            queues.setdefault(value, []).append(key)
+        sides.append(queues)
+    lefts, rights = sides
+    values: dict[float, dict[float, list[float]]] = {}
+    for x in lefts:
+        for y in rights:
+            if abs(x - y) <= most:
+                values.setdefault(abs(x - y), {}).setdefault(x, []).append(y)
+    at = dict.fromkeys(rights, 0)
+    used: tuple[set[int], set[int]] = (set(), set())
+
+    def head(y: float) -> int | None:
+        keys, k = rights[y], at[y]
+        while k < len(keys) and keys[k] in used[1]:
+            k += 1
+        at[y] = k
+        return keys[k] if k < len(keys) else None
+
+    for distance in sorted(values):
+        near = values[distance]
+        asked = [x for x, ys in near.items() if any(head(y) is not None for y in ys)]
+        for key, same in groupby(merge(*([(k, x) for k in lefts[x]] for x in asked)), itemgetter(0)):
+            if key not in used[0]:
+                r = min((k for _, x in same for y in near[x] if (k := head(y)) is not None), default=None)
+                if r is not None:
+                    used[0].add(key)
+                    used[1].add(r)
+                    yield key, r, distance
+        for x in asked:
+            lefts[x] = [k for k in lefts[x] if k not in used[0]]
+
+
+def nearest_pairs(items: DataFrame, by: list[str], key: str, value: str, is_left: str, most: float) -> DataFrame:
+    """(by..., l, r, distance): left items matched with right ones of their group, the nearest values first.
+
+    The same as greedy_pairs over all pairs with a score that falls with the distance, without making these pairs:
+    a task holds the keys and values of a group, and goes through the pairs of its distinct values.
+    """
+    group = [F.col(f"`{c}`").alias(f"_by{k}") for k, c in enumerate(by)]
+    rows = items.select(*group, F.col(key).cast("long").alias("_key"), F.col(value).cast("double").alias("_value"), F.col(is_left).alias("_left")).dropna()
+    names = [f"_by{k}" for k in range(len(by))]
+
+    def run(table: pa.Table) -> pa.Table:
+        sides: tuple[list, list] = ([], [])
+        for k, v, on_left in zip(*(table.column(c).to_pylist() for c in ("_key", "_value", "_left")), strict=True):
+            sides[not on_left].append((v, k))
+        out = list(nearest_taken(*sides, most))
+        groups = [pa.array([table.column(c)[0].as_py()] * len(out), table.schema.field(c).type) for c in names]
+        return pa.Table.from_arrays([*groups, *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], names=[*names, "l", "r", "distance"])
+
+    schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "l long", "r long", "distance double"])
+    found = rows.groupBy(*names).applyInArrow(run, schema)
+    return found.select(*[F.col(c).alias(b) for c, b in zip(names, by, strict=True)], "l", "r", "distance")

@@ -222,12 +222,11 @@ t AS (SELECT product, unnest(list_reduce(list_transform(p, lambda c: [c]), lambd
 SELECT product, x.l AS l, x.r AS r, round(-x.s, 6) AS score FROM t""")
 def j14_greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy one-to-one matching (J14) of every product's parts of even and of odd size, the nearest sizes first."""
-    from ..operators.matching import greedy_pairs
+    from ..operators.matching import nearest_pairs
 
-    p = load(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("product"), "p_partkey", "p_size")
-    a, b = p.where("p_size % 2 = 0").alias("a"), p.where("p_size % 2 = 1").alias("b")
-    c = a.join(b, F.col("a.product") == F.col("b.product")).select("a.product", F.col("a.p_partkey").alias("l"), F.col("b.p_partkey").alias("r"), (1.0 / (1 + F.abs(F.col("a.p_size") - F.col("b.p_size")))).alias("score"))
-    return greedy_pairs(c, "product", "l", "r", "score", 0.05).withColumn("score", F.round("score", 6))
+    p = load(spark, sf_dir, "part").where("p_size % 2 IN (0, 1)").select("p_brand", "p_type", "p_partkey", "p_size", F.expr("p_size % 2 = 0").alias("even"))
+    n = nearest_pairs(p, ["p_brand", "p_type"], "p_partkey", "p_size", "even", 19)  # a score of 0.05 or more
+    return n.select(F.concat_ws(" ", "p_brand", "p_type").alias("product"), "l", "r", F.round(1.0 / (1 + F.col("distance")), 6).alias("score"))
 
 
 @query("SELECT r_regionkey, array_to_string(list_filter(['head', CASE WHEN r_regionkey % 2 = 0 THEN 'even' END, 'tail'], lambda x: x IS NOT NULL), '>') AS parts FROM region")

@@ -161,6 +161,32 @@ def test_greedy_pairs(spark):
     assert {tuple(x) for x in got.collect()} == want
 
 
+def test_nearest_pairs_are_greedy_pairs(spark):
+    from provquill.operators.matching import greedy_pairs, nearest_pairs
+
+    r = random.Random(8)
+    items = [(g, k, r.randint(0, 12) / 2, r.random() < 0.5) for g in ("a", "b", None) for k in range(60)] + [("a", 3, 1.5, True), ("a", 4, 4.0, False), ("c", 1, 1.0, True)]
+    df = spark.createDataFrame(items, "g string, k int, v double, is_left boolean")
+    a, b = df.where("is_left").alias("a"), df.where("NOT is_left").alias("b")
+    c = a.join(b, F.col("a.g") == F.col("b.g")).select("a.g", F.col("a.k").alias("l"), F.col("b.k").alias("r"), (-F.abs(F.col("a.v") - F.col("b.v"))).alias("s"))
+    want = {(x.g, x.l, x.r, -x.s) for x in greedy_pairs(c, "g", "l", "r", "s", -2.5).collect()}
+    got = [tuple(x) for x in nearest_pairs(df, ["g"], "k", "v", "is_left", 2.5).collect()]
+    assert len(got) == len(set(got)) > 40 and set(got) == want
+
+
+def test_matching_of_crowded_groups_makes_no_pairs(spark, tmp_path):
+    """Equal sizes by the thousand: all pairs of a product would be 16 million, and each round takes one of them."""
+    import time
+
+    from provquill.plans import queries
+
+    spark.range(8000).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "cast(1 + id % 2 + 4 * (id % 3) AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    began = time.monotonic()
+    rows = queries()["j14_greedy_matching"](spark, str(tmp_path)).collect()
+    assert time.monotonic() - began < 30
+    assert len(rows) == len({x.l for x in rows}) == len({x.r for x in rows}) == 4000 and {x.score for x in rows} <= {0.5, 0.25, 0.166667, 0.125, 0.1}
+
+
 def test_sinks(spark, tmp_path):
     from provquill.sources import sinks
 
