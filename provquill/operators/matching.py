@@ -1,7 +1,8 @@
-"""Matching inside groups: greedy one-to-one pairs, nearest values."""
+"""Matching inside groups: greedy one-to-one pairs, nearest values, overlapping regions."""
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from heapq import merge
@@ -13,6 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.probes import iou
 from .shared import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules["provquill"])
@@ -99,3 +101,28 @@ def nearest_pairs(items: DataFrame, by: list[str], key: str, value: str, is_left
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "l long", "r long", "distance double"])
     found = rows.groupBy(*names).applyInArrow(run, schema)
     return found.select(*[F.col(c).alias(b) for c, b in zip(names, by, strict=True)], "l", "r", "distance")
+
+
+def overlapping_pairs(items: DataFrame, by: list[str], key: str, region: str, least: float) -> DataFrame:
+    """(left_key, right_key): items of one group, the smaller key on the left, whose regions have an IoU of least or more.
+
+    The overlap is computed for the distinct regions of a group, and of these for ones of similar area only (an IoU of
+    t needs areas within a factor of 1 / t); items then meet in an equality join with the regions near their own, so
+    rows are made for the result and not for all pairs of a group.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least overlap is above 0 and at most 1")
+    names = [f"_by{k}" for k in range(len(by))]
+    known = items.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, names, strict=True)], F.col(key).alias("_key"), F.col(region).alias("_region"))
+    area = F.col("_region.w").cast("double") * F.col("_region.h")
+    width = max(-math.log(least), 1e-6) * (1 + 1e-9)
+    boxes = materialize(known.select(*names, "_region").distinct().where(area > 0).withColumn("_bin", F.floor(F.log(area) / width)).withColumn("_box", F.monotonically_increasing_id()), "regions")
+    a = boxes.select(*names, F.col("_region").alias("_ra"), F.col("_box").alias("_a"), F.explode(F.array(F.col("_bin") - 1, F.col("_bin"), F.col("_bin") + 1)).alias("_bin"))
+    b = boxes.select(*names, "_bin", F.col("_region").alias("_rb"), F.col("_box").alias("_b"))
+    near = materialize(a.join(b, [*names, "_bin"]).where((F.col("_a") <= F.col("_b")) & (iou(F.col("_ra"), F.col("_rb")) >= least)).select("_a", "_b"), "near-regions")
+    members = materialize(known.join(boxes, [*names, "_region"]).select("_box", "_key"), "region-items")
+    left = members.select(F.col("_box").alias("_a"), F.col("_key").alias("_x")).join(near, "_a")
+    both = left.join(members.select(F.col("_box").alias("_b"), F.col("_key").alias("_y")), "_b")
+    # Items of one region meet in both orders, those of two regions once.
+    both = both.where("CASE WHEN _a = _b THEN _x < _y ELSE _x <> _y END")
+    return both.select(F.least("_x", "_y").alias("left_key"), F.greatest("_x", "_y").alias("right_key"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.probes import iou
 from ..operators import sequences as S
+from ..operators.matching import overlapping_pairs
 from .registry import load, query
 
 _FRAMES = """frames AS (SELECT user_id AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame_index, (event_id % 10) / 10.0 AS confidence,
@@ -106,9 +106,7 @@ def w14_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j15_spatial_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial overlap join within a group."""
     p = load(spark, sf_dir, "part").select("p_brand", "p_type", "p_partkey", F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("p_size").alias("w"), F.lit(1).alias("h")).alias("region"))
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.where(iou(F.col("a.region"), F.col("b.region")) >= 0.8).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
+    return overlapping_pairs(p, ["p_brand", "p_type"], "p_partkey", "region", 0.8)
 
 
 @query(f"""WITH plain AS ({_filled(_SEEN.replace("confidence >= 0.2", "confidence >= 0.6"), "c >= 5 AND t >= 0.65")} SELECT sequence, count(acc) AS plain FROM c GROUP BY 1),

@@ -187,6 +187,25 @@ def test_matching_of_crowded_groups_makes_no_pairs(spark, tmp_path):
     assert len(rows) == len({x.l for x in rows}) == len({x.r for x in rows}) == 4000 and {x.score for x in rows} <= {0.5, 0.25, 0.166667, 0.125, 0.1}
 
 
+def test_overlapping_pairs_are_those_of_all_pairs(spark):
+    """Regions shared by many items, areas about the bins' bounds, empty regions, repeated and missing keys."""
+    from provquill.operators.matching import overlapping_pairs
+
+    r = random.Random(9)
+    spots = [(r.randint(0, 3), r.randint(0, 3), r.choice([0, 4, 5, 8, 10, 16, 20]), r.choice([1, 5, 8, 10])) for _ in range(25)]
+    items = [(r.choice("gh"), k % 190, r.choice(spots)) for k in range(200)] + [(None, 900, spots[0]), (None, 901, spots[0]), ("g", 902, None)]
+    df = spark.createDataFrame(items, "g string, k long, region struct<x:int,y:int,w:int,h:int>")
+
+    def overlap(a, b):
+        w, h = (max(0, min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
+        union = a[2] * a[3] + b[2] * b[3] - w * h
+        return w * h / union if union else 0.0
+
+    for least in (0.3, 0.8, 1.0):
+        want = sorted((a[1], b[1]) for a in items for b in items if a[0] and a[0] == b[0] and a[1] < b[1] and a[2] and b[2] and overlap(a[2], b[2]) >= least)
+        assert len(want) > 100 and sorted(tuple(x) for x in overlapping_pairs(df, ["g"], "k", "region", least).collect()) == want
+
+
 def test_sinks(spark, tmp_path):
     from provquill.sources import sinks
 
