@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an undirected edge table.
 
     Each step joins edges to the per-node minimum, so no neighbour list is ever gathered in one task; a hub is
-    an ordinary skewed join key.  Every round is written to the shared folder, which cuts the lineage and
+    an ordinary skewed join key; joins sort, as a broadcast of all nodes would pass through the driver.  Every round is written to the shared folder, which cuts the lineage and
     survives lost executors, and the tables of earlier rounds are deleted.  Self links and repeats are harmless.
     """
     spark = edges.sparkSession
@@ -23,9 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = spark.read.parquet(path)
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").selectExpr("greatest(v, m) AS u", "m AS v").where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").selectExpr("greatest(v, m) AS u", "m AS v").where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         new = write_shared(small, "links")
         delete(spark, path)
         path = new

@@ -122,7 +122,8 @@ def links(fps: DataFrame, distance: int = 2, hot_key: int = HOT_KEY) -> DataFram
     """
     if distance not in (1, 2):
         raise ValueError("two halves with one wildcard each find distances of 1 and 2")
-    keys = _variants(fps, 0).union(_variants(fps, 1))
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keys = materialize(_variants(dealt, 0).union(_variants(dealt, 1)), "wildcard-keys")
     hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
     cold_keys, hot_keys = keys.join(hot, "key", "left_anti"), keys.join(hot, "key", "left_semi")
     left = cold_keys.where("side <> 1").select("key", F.col("fp").alias("a"), F.col("side").alias("s"))
@@ -137,18 +138,24 @@ def links(fps: DataFrame, distance: int = 2, hot_key: int = HOT_KEY) -> DataFram
     refined = refined.select("fp", "key", F.explode("masks").alias("mask"), "o").withColumn("rest", F.expr("o & ~mask")).drop("o")
     least = refined.groupBy("key", "mask", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
     stars = refined.join(least, ["key", "mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.union(stars.distinct())
+    found = materialize(pairs.union(stars.distinct()), "fingerprint-links")
+    release(keys)
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that a chain of links reaches."""
+    """(doc_id, fp, component_id): the smallest doc_id that a chain of links reaches.
+
+    Tables with a row for every fingerprint are joined by sorting, whatever size a plan takes them for: a broadcast
+    would pass through the driver, whose memory does not grow with the documents.
+    """
     known = materialize(fingerprints(docs), "fingerprints")
     groups = materialize(known.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-groups")
     reached = components(links(groups.select("fp"), distance))
-    rooted = groups.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    rooted = groups.join(reached.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return known.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = rooted.join(least.hint("merge"), "root").select("fp", "component_id")
+    return known.join(by_fp.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

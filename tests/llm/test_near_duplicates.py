@@ -72,6 +72,17 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_no_table_of_all_fingerprints_is_broadcast(spark, sf_dir, monkeypatch):
+    """A broadcast passes through the driver; of the joins only those with hot keys may be planned as one."""
+    from provquill.llm import graph
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plans, write = [], graph.write_shared
+    monkeypatch.setattr(graph, "write_shared", lambda df, *rest: plans.append(plan(df)) or write(df, *rest))
+    plans.append(plan(simhash.near_duplicates(table(spark, sf_dir, "documents"))))
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in x for x in plans)
+
+
 def test_near_duplicate_rows(spark, awkward, nothing):
     rows = simhash.near_duplicates(awkward).collect()
     got = {r.doc_id: r.component_id for r in rows}
