@@ -17,7 +17,8 @@ A crowd of near copies has links by the square of its size, of which a class nee
 first held against one of those that share a segment in its place, the key's pivot; then one member of every class
 (connected component) that a key still holds is held against its pivot; and what these links leave in different
 classes is compared further, pair by pair in one task a key, which passes over the classes that it has joined.  Links
-are therefore enough to join whatever is linked, not all there are; n_links counts those verified and kept.
+are therefore enough to join whatever is linked, not all there are.  Linked lines are in one class, so n_links, all
+links of a line, is counted inside the classes afterwards, block against block, with no row for a link.
 
 A key that leaves very many such pairs (lines that share a beginning, an end or a middle) is not matched with itself.
 Its members keep what surrounds the shared segment as pieces: if segment i is the first at which a linked pair
@@ -39,7 +40,7 @@ one; columns beside doc_id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +143,11 @@ class Relation:
         return len(line) >= self.min_chars and (not self.bands[1] or len(words) < self.wordy + self.distance), bool(self.bands[1]) and len(words) >= self.wordy
 
     def linked(self, a: str, b: str) -> bool:
+        return self.near(a, a.split(), b, b.split())
+
+    def near(self, a: str, x: list[str], b: str, y: list[str]) -> bool:
+        """linked() of lines whose words are known."""
         if self.bands[1]:
-            x, y = a.split(), b.split()
             shorter = min(len(x), len(y))
             if shorter >= self.wordy:
                 return within(x, y, max(t for least, t in self.bands[1] if shorter >= least))
@@ -212,6 +216,7 @@ def signed_lines(docs: DataFrame, buckets: np.ndarray, relation: Relation) -> Da
         groups: list = []
         held: tuple[list, list] = ([], [])
         ids: tuple[list[int], list[int]] = ([], [])
+        latest: set[str] = set()  # of one batch
         chars = n = 0
 
         def sign() -> None:
@@ -231,8 +236,12 @@ def signed_lines(docs: DataFrame, buckets: np.ndarray, relation: Relation) -> Da
             return _pack(key, more, buckets)
 
         for batch in batches:
+            latest.clear()
             for text in batch.column(0).to_pylist():
                 for line in (text or "").split("\n"):
+                    if line in latest:
+                        continue
+                    latest.add(line)
                     words = line.split()
                     units = relation.signed(line, words)
                     if words and any(units):
@@ -308,13 +317,12 @@ def starred(packed: DataFrame) -> DataFrame:
 _MEMBER_ROW = ("key", "h1", "h2", "role", "sketch", "class", "line")
 
 
-def crossed(members: DataFrame, docs: DataFrame, relation: Relation, buckets: int) -> DataFrame:
+def crossed(members: DataFrame, texts: DataFrame, relation: Relation, buckets: int) -> DataFrame:
     """(a1, a2, b1, b2): verified links that join the classes of a key's members wherever any links do.
 
     A task goes through the pairs of an index member with any other one of its keys, in order, and passes over those
     whose classes it has joined already, so it verifies what may join classes and gives one link for each that does.
     """
-    texts = materialize(_texts(docs, members.select("h1").distinct()), "member-lines")
     rows = members.select("key", "h1", "role", "sketch", "class").distinct().join(texts, "h1").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), *_MEMBER_ROW)
 
     def run(table: pa.Table) -> pa.Table:
@@ -472,9 +480,9 @@ def _open_members(members: DataFrame, links: DataFrame, hot_pairs: int) -> DataF
     return found
 
 
-def _finer(hot: DataFrame, docs: DataFrame, relation: Relation) -> DataFrame:
+def _finer(hot: DataFrame, texts: DataFrame, relation: Relation) -> DataFrame:
     """Members of hot keys, signed by the segments of what surrounds those that they share."""
-    texts = materialize(_texts(docs, hot.select("h1").distinct()).select("h1", "line"), "hot-lines")
+    texts = texts.select("h1", "line")
     members = hot if "pieces" in hot.columns else materialize(_opened(hot.join(texts, "h1").select("key", "h1", "role", "line"), relation), "hot-members")
     pieces = members.where("NOT final").select("key", F.posexplode("pieces").alias("k", "p")).where("p.must > 0")
     alike = pieces.groupBy("key", "k").agg(F.min("p.hash").alias("low"), F.max("p.hash").alias("high")).where("low = high").select("key").distinct()
@@ -529,12 +537,6 @@ def within(a: str | list[str], b: str | list[str], distance: int) -> bool:
     return score <= distance
 
 
-def line_rows(rows: DataFrame, *columns: str) -> DataFrame:
-    """(columns..., line_no, line) of every line that is not blank."""
-    lines = bare(rows, "text", *columns).select(*columns, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(_FULL))
-
-
 #: A character that is no white space, as str.split() has it.
 _FULL = r"[^\x20\x09-\x0D\x1c-\x1f\x85\p{Z}]"
 
@@ -542,14 +544,13 @@ _FULL = r"[^\x20\x09-\x0D\x1c-\x1f\x85\p{Z}]"
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(h1, h2, line) once for every line with one of the ids; ids are sent to the tasks only up to a checked number."""
     few = ids.count() <= BROADCAST_IDS
-    rows = line_rows(docs).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    return rows.groupBy("h1", "h2").agg(F.max("line").alias("line"))
+    rows = bare(docs, "text").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("h1"), "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi")
+    return rows.distinct().select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, relation: Relation) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, relation: Relation) -> DataFrame:
     """(a1, a2, b1, b2): the pairs (a, b) of line ids that are linked, as hashes of their texts."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    texts = materialize(_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()), "line-texts")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -559,28 +560,98 @@ def verified(pairs: DataFrame, docs: DataFrame, relation: Relation) -> DataFrame
     left = texts.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("a_line"))
     right = texts.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("b_line"))
     both = pairs.join(left, "a").join(right, "b").select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "a_line", "b_line")
-    links = materialize(both.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long"), "line-links")
-    release(pairs, texts)
-    return links
+    return materialize(both.mapInArrow(verify, "a1 long, a2 long, b1 long, b2 long"), "line-links")
 
 
 def linked_lines(docs: DataFrame, relation: Relation, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(a1, a2, b1, b2): hashes of distinct line texts that are linked; these links join whatever any links join."""
+    return _links_and_texts(docs, relation, hot_pairs)[0]
+
+
+def _links_and_texts(docs: DataFrame, relation: Relation, hot_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """linked_lines(), and (h1, h2, line) of every line that a candidate names; documents are read for them once."""
     buckets = np.array(routing_keys(docs.sparkSession, 4), dtype=np.int64)
     found = materialize(starred(signed_lines(docs, buckets, relation)), "line-candidates")
-    links = verified(found.where("kind = 0").select("a", "b"), docs, relation)
+    ids = materialize(found.select(F.explode(F.expr("CASE WHEN kind = 0 THEN array(a, b) ELSE array(a) END")).alias("h1")).distinct(), "candidate-ids")
+    texts = materialize(_texts(docs, ids), "candidate-lines")
+    release(ids)
+    links = verified(found.where("kind = 0").select("a", "b"), texts, relation)
     members = found.where("kind = 1").selectExpr("key", "a AS h1", "b AS role", "sketch")
     while not members.isEmpty():
-        links = materialize(links.union(verified(_class_pairs(members, links), docs, relation)).distinct(), "line-links")
+        links = materialize(links.union(verified(_class_pairs(members, links), texts, relation)).distinct(), "line-links")
         rest = _open_members(members, links, hot_pairs)
         cold = rest.where("NOT hot OR final") if "final" in rest.columns else rest.where("NOT hot")
-        links = materialize(links.union(crossed(cold, docs, relation, len(buckets))).distinct(), "line-links")
+        links = materialize(links.union(crossed(cold, texts, relation, len(buckets))).distinct(), "line-links")
         hot = rest.where("hot AND NOT final") if "final" in rest.columns else rest.where("hot")
         if hot.isEmpty():
             break
-        members = _finer(hot, docs, relation)
+        members = _finer(hot, texts, relation)
     release(found)
-    return links
+    return links, texts
+
+
+#: A class is dealt in blocks of about so many lines, of which every two meet in one task.
+BLOCK = 256
+
+
+def link_counts(reached: DataFrame, texts: DataFrame, relation: Relation, block: int) -> DataFrame:
+    """(h1, h2, n_links) of (h1, component): with how many other texts each line is linked.
+
+    Linked lines are in one class, so all pairs of a class are held against each other: their sizes and sketches
+    together in numpy, what passes on the texts.  A task counts the links of two blocks, and no row is made for a
+    link; the two lines of a class of two are linked already.
+    """
+    partitions = int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = reached.groupBy("component").agg(F.count("*").alias("n"))
+    known = reached.join(sizes, "component").join(texts, "h1")
+    dealt = known.where("n > 2").withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "h1"), "blocks"))
+    pairs = dealt.select("component", "h1", "h2", "line", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(F.col("component").alias("class"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h1", "h2", "line")
+    rows = pairs.select(F.pmod(F.xxhash64("class", "x", "y"), F.lit(4 * partitions)).alias("bucket"), "class", "x", "y", "own", "h1", "h2", "line")
+
+    def run(table: pa.Table) -> pa.Table:
+        group, x, y, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("class", "x", "y", "own"))
+        order = np.lexsort((own, y, x, group))
+        group, x, y, own = group[order], x[order], y[order], own[order]
+        lines = table.column("line").combine_chunks().take(pa.array(order)).to_pylist()
+        words = [line.split() for line in lines]
+        codes = WordCodes()
+        counts = np.zeros(len(lines), dtype=np.int64)
+        first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(lines)], strict=True):
+            middle = at + int((own[at:to] == x[at]).sum())
+            whole = x[at] == y[at]  # one block with itself
+            if not whole and middle in (at, to):
+                continue
+            near = _near(lines[at:to], words[at:to], relation, codes) if to - at > 8 else None
+            for i in range(at, to if whole else middle):
+                others = range(max(i + 1, at if whole else middle), to)
+                for j in others if near is None else (np.flatnonzero(near(i - at, others.start - at)) + others.start).tolist():
+                    if relation.near(lines[i], words[i], lines[j], words[j]):
+                        counts[i] += 1
+                        counts[j] += 1
+        return pa.Table.from_arrays([*(table.column(c).combine_chunks().take(pa.array(order)) for c in ("h1", "h2")), pa.array(counts)], names=["h1", "h2", "n"])
+
+    counted = rows.groupBy("bucket").applyInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n_links"))
+    return counted.union(known.where("n = 2").select("h1", "h2", F.lit(1).cast("long").alias("n_links")))
+
+
+def _near(lines: list[str], words: list[list[str]], relation: Relation, codes: WordCodes) -> Callable[[int, int], np.ndarray]:
+    """A function of (i, start): which lines from start on may be linked to line i by their sizes and sketches."""
+    by_char, by_word = Hashed.of_chars(lines), Hashed.of_words(words, codes)
+    leasts, most = np.array([least for least, _ in relation.bands[1]], dtype=np.int64), np.maximum.accumulate([0, *(t for _, t in relation.bands[1])])
+
+    def near(i: int, start: int) -> np.ndarray:
+        chars, count = by_char.sizes[start:], by_word.sizes[start:]
+        limit = most[np.searchsorted(leasts, np.minimum(count, count.dtype.type(by_word.sizes[i])), "right")]
+        wordy = limit > 0
+        ok = np.where(wordy, np.abs(count - by_word.sizes[i]) <= limit, np.abs(chars - by_char.sizes[i]) <= relation.distance)
+        for h, of, t in ((by_word, ok & wordy, limit), (by_char, ok & ~wordy, np.full(len(ok), relation.distance))):
+            if of.any():
+                at = np.flatnonzero(of)
+                ok[at] = sketch_distance(h.sketch[start:][at], np.full(len(at), h.sketch[i])) <= 2 * t[at]
+        return ok
+
+    return near
 
 
 def numbered_lines(rows: DataFrame) -> DataFrame:
@@ -589,23 +660,27 @@ def numbered_lines(rows: DataFrame) -> DataFrame:
     return lines.where(F.col("line").isNull() | F.col("line").rlike(_FULL)).select("row_no", "doc_id", "line_no", F.expr("CASE WHEN line IS NOT NULL THEN xxhash64(line) END").alias("h1"), F.expr("CASE WHEN line IS NOT NULL THEN xxhash64(1, line) END").alias("h2"))
 
 
-def judged_lines(docs: DataFrame, lines: DataFrame, relation: Relation | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def judged_lines(docs: DataFrame, lines: DataFrame, relation: Relation | None = None, hot_pairs: int = HOT_PAIRS, counted: bool = True) -> DataFrame:
     """(row_no, line_no, class_id, class_line, n_links, kept) of every line of docs that is not blank.
 
     lines are those of numbered_lines, stored.  The class is where the line's text, or one that links reach, first
-    occurs: that row's doc_id, and the line's number there; n_links counts the links that were verified.
+    occurs: that row's doc_id, and the line's number there; n_links counts all lines of other texts that are linked to
+    this one, or, if they need not be counted, the links that join its class.
     """
     lines = lines.where("h1 IS NOT NULL").select(F.expr("coalesce(doc_id, -9223372036854775808L)").alias("id"), "row_no", "line_no", "h1", "h2")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "row_no", "line_no")).alias("first")), "line-firsts")
-    links = linked_lines(docs, relation or Relation(), hot_pairs)
+    links, texts = _links_and_texts(docs, relation or Relation(), hot_pairs)
     reached = components(links.selectExpr("a1 AS a", "b1 AS b")).selectExpr("node AS h1", "component")
-    ends = links.select(F.explode(F.expr("array(struct(a1 AS h1, a2 AS h2), struct(b1 AS h1, b2 AS h2))")).alias("x")).groupBy("x.h1", "x.h2").agg(F.count("*").alias("n_links"))
+    if counted:
+        ends = link_counts(reached, texts, relation or Relation(), BLOCK)
+    else:
+        ends = links.select(F.explode(F.expr("array(struct(a1 AS h1, a2 AS h2), struct(b1 AS h1, b2 AS h2))")).alias("x")).groupBy("x.h1", "x.h2").agg(F.count("*").alias("n_links"))
     rooted = materialize(firsts.join(reached, "h1", "left").join(ends, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component"), "rooted-lines")
     # Lines without a link are their own class; only the linked ones meet.
     linked = rooted.where("component IS NOT NULL")
     by_class = linked.join(linked.groupBy("component").agg(F.min("first").alias("class")), "component").select("h1", "h2", "n_links", "class")
     classes = materialize(by_class.union(rooted.where("component IS NULL").selectExpr("h1", "h2", "n_links", "first AS class")), "line-classes")
-    release(firsts, links, rooted)
+    release(firsts, links, texts, rooted)
     return lines.join(classes, ["h1", "h2"]).select("row_no", "line_no", F.expr("nullif(class.id, -9223372036854775808L)").alias("class_id"), F.col("class.line_no").alias("class_line"), "n_links", F.expr("class.row_no = row_no AND class.line_no = line_no").alias("kept"))
 
 
@@ -632,7 +707,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keyed = materialize(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("row_no")), "numbered-rows")
     rows = keyed.select("_row.doc_id", "_row.text", "row_no")
     lines = materialize(numbered_lines(rows), "lines")
-    gone = judged_lines(rows, lines).where("NOT kept").groupBy("row_no").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    gone = judged_lines(rows, lines, counted=False).where("NOT kept").groupBy("row_no").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     keyed = keyed.join(gone, "row_no", "left")
     kept = keyed.withColumn("_lines", F.split("_row.text", "\n")).withColumn("_text", F.expr("CASE WHEN gone IS NULL THEN _row.text ELSE array_join(transform(array_except(sequence(0, size(_lines) - 1), gone), k -> _lines[k]), '\n') END"))
     columns = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}

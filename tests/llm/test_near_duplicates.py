@@ -235,6 +235,20 @@ def test_a_crowd_of_near_lines_makes_few_links(spark):
     assert 999 <= line_dedup.linked_lines(df, line_dedup.Relation()).count() <= 4000
 
 
+@pytest.mark.parametrize("block", [7, 256])
+def test_every_link_of_a_line_is_counted(spark, monkeypatch, block):
+    """Crowds of near lines by words and by code points, whose members share several keys, and chains beside them."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    r = random.Random(14)
+    words = [f"w{k}" for k in range(24)]
+    lines = [" ".join([*words[:k], f"x{r.randint(0, 9)}", *words[k + 1 :]]) for k in (3, 11, 20) for _ in range(25)]
+    lines += [f"a line of code points, number {k}" for k in range(90, 130)] + ["b" * k + "a chain of short ones" for k in range(20)] + ["only a pair of lines 1", "only a pair of lines 2", "and one that is alone here"]
+    rows = [(d, "\n".join(r.sample(lines, 6))) for d in range(60)]
+    want = plain_lines(rows, line_dedup.Relation())
+    assert max(v[3] for x in want.values() for v in x) > 20
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.Relation()) == want
+
+
 def test_line_dedup_query_and_stage(spark, awkward, nothing):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
