@@ -7,6 +7,7 @@ Nothing here holds rows on the driver.  Tables that cut lineage go to the folder
 from __future__ import annotations
 
 import atexit
+import ctypes
 import sys
 import tempfile
 import types
@@ -15,6 +16,7 @@ import weakref
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,6 +124,15 @@ def forget_worker_state() -> None:
         home.key, home.value = None, None
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; an idle worker would keep it beside its executor's next stages."""
+    forget_worker_state()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: So many keys are sent to every task to drop rows by; more are joined by a shuffle of the rows.
 BROADCAST_KEYS = 1_000_000
 

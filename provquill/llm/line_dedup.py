@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, materialize, release, routing_keys, small_batches, table, worker_state
+from .common import bare, give_back, materialize, release, routing_keys, small_batches, table, worker_state
 from .graph import components
 
 #: Threshold on code points, and the fewest code points of a line that is compared so.
@@ -260,6 +260,8 @@ def signed_lines(docs: DataFrame, buckets: np.ndarray, relation: Relation) -> Da
         sign()
         if groups:
             yield packed()
+        seen.clear(), latest.clear(), codes.clear()
+        give_back()
 
     return bare(docs, "text").mapInArrow(run, "bucket long, payload binary")
 

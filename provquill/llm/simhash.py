@@ -15,12 +15,13 @@ rows and copies share a fingerprint and so a component; a row with a null doc_id
 no component (its component_id is null if no row with an id is reached); an empty table gives an empty one;
 columns beside doc_id and text are ignored, whatever their names.
 
-The pipeline's stage asks for another thing: texts whose sets of five-word shingles have a Jaccard similarity of
-0.8 or more.  Fingerprints of such texts differ in about ten of 64 bits, too many for segments to select by.  Equal
-sets are one from the start.  A union of at most nine shingles is similar only where one set lacks a single shingle
+The pipeline's stage links all that these links of fingerprints join, found in the same way, and beyond them texts
+whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.  Fingerprints of such texts differ in about
+ten of 64 bits, too many for segments to select by, so these come by another way beside it, which takes nothing from
+the first.  Equal sets are one from the start.  A union of at most nine shingles is similar only where one set lacks a single shingle
 of the other, which deletion variants of the set find by equality, each variant one set at most.  Larger sets
 (eight shingles or more) become candidates by min-hash bands (24 of 4: a pair at 0.8 is missed with a probability of
-4e-6), and every link is verified on the whole shingle sets.  Each member of a band key is first held against the
+4e-6), and every link of theirs is verified on the whole shingle sets.  Each member of a band key is first held against the
 smallest and the greatest one; only what these links leave in different components is compared further.  A text of
 fewer than five words is one shingle; texts without words are one set.
 """
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, materialize, release, small_batches, table, without
+from .common import bare, forget_worker_state, give_back, materialize, release, small_batches, table, without
 from .graph import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -100,6 +101,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
         for batch in batches:
             found = fingerprint_of(batch.column(1).to_pylist(), shingle, seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        give_back()
 
     return bare(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -197,9 +199,9 @@ def _hashes(sets: list[bytes]) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, set, n, keys, variants, shingles) of (key, doc_id, text).
+    """(key, doc_id, fp, set, n, keys, variants, shingles) of (key, doc_id, text).
 
-    set is the hash of a text's shingle set, n its size, shingles its sorted hashes; variants are the hashes of the
+    fp is the fingerprint, set is the hash of a text's shingle set, n its size, shingles its sorted hashes; variants are the hashes of the
     set without one shingle each.
     """
     small_batches(rows.sparkSession)
@@ -209,16 +211,18 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingle_set(t) for t in part.column(2).to_pylist()]
+                texts = part.column(2).to_pylist()
+                sets = [shingle_set(t) for t in texts]
                 full = [x for x in sets if len(x) >= LARGE]
                 keys = iter(band_keys(full).view(np.int64).tolist() if full else [])
                 raw = [x.tobytes() for x in sets]
                 ids = _hashes(raw)
                 less = [_hashes([x[: 8 * k] + x[8 * k + 8 :] for k in range(len(x) // 8)]) if 5 <= len(x) // 8 <= SMALL else [] for x in raw]
-                columns = [part.column(0), part.column(1), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "set", "n", "keys", "variants", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(fingerprint_of(texts).view(np.int64)), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "fp", "set", "n", "keys", "variants", "shingles"])
+        give_back()
 
-    return rows.mapInArrow(run, "key long, doc_id long, set long, n long, keys array<long>, variants array<long>, shingles binary")
+    return rows.mapInArrow(run, "key long, doc_id long, fp long, set long, n long, keys array<long>, variants array<long>, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -242,9 +246,22 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
+def fingerprint_links(known: DataFrame) -> DataFrame:
+    """(a, b): links between distinct sets that join those whose texts have the same fingerprint or linked ones."""
+    owners = materialize(known.groupBy("fp").agg(F.min("set").alias("first")), "fingerprint-owners")
+    same = known.select("fp", "set").distinct().join(owners.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    near = links(owners.select("fp"))
+    for end in ("a", "b"):
+        near = near.join(owners.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")).hint("merge"), end).drop(end).withColumnRenamed(f"_{end}", end)
+    found = materialize(same.union(near.select("a", "b")).where("a <> b"), "fingerprint-set-links")
+    release(owners)
+    return found
+
+
 def similar_links(known: DataFrame) -> DataFrame:
-    """(a, b): links between distinct sets that join all which the similar pairs of a key join; those of band keys are verified."""
+    """(a, b): links between distinct sets that join all which linked fingerprints or the similar pairs of a key join; those of band keys are verified."""
     over, under = SIMILAR
+    first_links = fingerprint_links(known)
     fit = f"{under} * least(m, n) >= {over} * greatest(m, n)"
     distinct = materialize(known.groupBy("set").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("variants").alias("variants")), "distinct-sets")
     fuller = distinct.select(F.col("set").alias("b"), F.explode("variants").alias("a"))
@@ -254,14 +271,14 @@ def similar_links(known: DataFrame) -> DataFrame:
     members = materialize(entries.join(pivots, "key").select("key", "set", "n", "p", "z"), "band-members")
     first = members.select("set", "n", F.explode(F.array("p", "z")).alias("p")).select("set", "n", F.col("p.set").alias("pivot"), F.col("p.n").alias("m"))
     pairs = materialize(first.where(f"set <> pivot AND {fit}").select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct(), "star-pairs")
-    stars = materialize(lacking.union(similar(pairs, known)), "stars")
+    stars = materialize(first_links.union(lacking).union(similar(pairs, known)), "stars")
     reached = components(stars).select(F.col("node").alias("set"), "component")
     placed = materialize(members.join(reached, "set", "left").select("key", "set", "n", F.expr("set = p.set OR set = z.set").alias("met"), F.coalesce("component", "set").alias("component")), "placed-members")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     # The pivots have met all members; the others of different components have not met.
     rest = materialize(placed.where("NOT met").join(open_keys, "key", "left_semi"), "open-members")
     found = materialize(stars.union(joined_sets(rest, known)), "set-links")
-    release(distinct, members, placed, rest)
+    release(first_links, distinct, members, pairs, stars, placed, rest)
     return found
 
 

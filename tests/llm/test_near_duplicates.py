@@ -315,3 +315,20 @@ def test_stage_links_what_all_pairs_of_five_word_sets_link(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {x.doc_id for x in simhash.simhash_stage(spark, docs, "").collect()}
     assert linked > 1000 and kept == {i for i in range(len(texts)) if want.find(i) == i}
+
+
+def test_stage_links_what_fingerprints_link(spark):
+    """Texts at two differing bits or fewer are linked as op3 links them, also below the similarity of the sets."""
+    r = random.Random(6)
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    while True:
+        base = [f"w{r.randint(0, 9999)}" for _ in range(300)]
+        texts = [" ".join(base)] + [" ".join("changed" if k in at else w for k, w in enumerate(base)) for at in (set(range(n, 300, 38)) for n in range(38))]
+        fps = [plain_fingerprint(t) for t in texts]
+        near = [t for t, f in zip(texts[1:], fps[1:], strict=True) if (f ^ fps[0]).bit_count() <= 2]
+        if near:
+            break
+    a, b = sets(texts[0]), sets(near[0])
+    assert 5 * len(a & b) < 4 * len(a | b)
+    docs = spark.createDataFrame([(1, texts[0]), (2, near[0]), (3, " ".join(f"v{k}" for k in range(50)))], "doc_id long, text string")
+    assert {x.doc_id for x in simhash.simhash_stage(spark, docs, "").collect()} == {1, 3}
