@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -104,6 +105,12 @@ def release(*tables: DataFrame) -> None:
 _paths: dict[int, str] = {}
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of frames that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_state(key: str, make: Callable[[], Any]) -> Any:
     """An object kept for the life of a Python worker (a tokenizer, tables of powers), built once per key.
 

@@ -33,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bare, forget_worker_state, give_back, materialize, release, small_batches, table, without
+from .common import BROADCAST_KEYS, bare, drop_shuffles, forget_worker_state, give_back, materialize, release, small_batches, table, without
 from .graph import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -125,12 +125,12 @@ def links(fps: DataFrame, distance: int = 2, hot_key: int = HOT_KEY) -> DataFram
     if distance not in (1, 2):
         raise ValueError("two halves with one wildcard each find distances of 1 and 2")
     dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keys = materialize(_variants(dealt, 0).union(_variants(dealt, 1)), "wildcard-keys")
-    hot = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_key).select("key")
-    cold_keys, hot_keys = keys.join(hot, "key", "left_anti"), keys.join(hot, "key", "left_semi")
+    # Counted where the keys meet, so all that follows reads one exchange of them.
+    keys = _variants(dealt, 0).union(_variants(dealt, 1)).withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    cold_keys, hot_keys = keys.where(f"n <= {hot_key}"), keys.where(f"n > {hot_key}").drop("n")
     left = cold_keys.where("side <> 1").select("key", F.col("fp").alias("a"), F.col("side").alias("s"))
     right = cold_keys.where("side <> 0").select("key", F.col("fp").alias("b"), F.col("side").alias("t"))
-    pairs = left.join(right, (left.key == right.key) & F.expr(f"bit_count(a ^ b) <= {distance} AND ((s = 2 AND t = 2 AND a < b) OR (s = 0 AND t = 1))")).select("a", "b")
+    pairs = left.join(right.hint("merge"), (left.key == right.key) & F.expr(f"bit_count(a ^ b) <= {distance} AND ((s = 2 AND t = 2 AND a < b) OR (s = 0 AND t = 1))")).select("a", "b")
     # What remains of the distance, as wildcards in the other half: both bits for an exact key, one for a wildcard key.
     other = "CASE WHEN shiftright(key, 38) = 0 THEN shiftrightunsigned(fp, 32) & 4294967295L ELSE fp & 4294967295L END"
     refined = hot_keys.withColumn("o", F.expr(other)).withColumn(
@@ -140,9 +140,7 @@ def links(fps: DataFrame, distance: int = 2, hot_key: int = HOT_KEY) -> DataFram
     refined = refined.select("fp", "key", F.explode("masks").alias("mask"), "o").withColumn("rest", F.expr("o & ~mask")).drop("o")
     least = refined.groupBy("key", "mask", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
     stars = refined.join(least, ["key", "mask", "rest"]).where("fp <> a").select("a", F.col("fp").alias("b"))
-    found = materialize(pairs.union(stars.distinct()), "fingerprint-links")
-    release(keys)
-    return found
+    return materialize(pairs.union(stars.distinct()), "fingerprint-links")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -199,10 +197,10 @@ def _hashes(sets: list[bytes]) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, fp, set, n, keys, variants, shingles) of (key, doc_id, text).
+    """(key, doc_id, fp, set, n, keys, variants) of (key, doc_id, text).
 
-    fp is the fingerprint, set is the hash of a text's shingle set, n its size, shingles its sorted hashes; variants are the hashes of the
-    set without one shingle each.
+    fp is the fingerprint, set is the hash of a text's shingle set, n its size; variants are the hashes of the set
+    without one shingle each.
     """
     small_batches(rows.sparkSession)
 
@@ -218,18 +216,34 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 raw = [x.tobytes() for x in sets]
                 ids = _hashes(raw)
                 less = [_hashes([x[: 8 * k] + x[8 * k + 8 :] for k in range(len(x) // 8)]) if 5 <= len(x) // 8 <= SMALL else [] for x in raw]
-                columns = [part.column(0), part.column(1), pa.array(fingerprint_of(texts).view(np.int64)), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "fp", "set", "n", "keys", "variants", "shingles"])
+                columns = [part.column(0), part.column(1), pa.array(fingerprint_of(texts).view(np.int64)), pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([next(keys) if len(x) >= LARGE else [] for x in sets], pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "fp", "set", "n", "keys", "variants"])
+        give_back()
+
+    return rows.mapInArrow(run, "key long, doc_id long, fp long, set long, n long, keys array<long>, variants array<long>")
+
+
+def shingles_of(wanted: DataFrame, known: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set, shingles) of the wanted sets: their sorted hashes, made again from one text of each, so that no table holds those of all."""
+    chosen = materialize(known.select("key", "set").join(wanted.hint("merge"), "set", "left_semi").groupBy("set").agg(F.min("key").alias("key")), "chosen-rows")
+    few = chosen.count() <= BROADCAST_KEYS // 2
+    texts = rows.select("key", "text").join(F.broadcast(chosen) if few else chosen.hint("merge"), "key").select("set", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["set", "shingles"])
         give_back()
 
-    return rows.mapInArrow(run, "key long, doc_id long, fp long, set long, n long, keys array<long>, variants array<long>, shingles binary")
+    return texts.mapInArrow(run, "set long, shingles binary").groupBy("set").agg(F.first("shingles").alias("shingles"))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, known: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is SIMILAR or more, counted on the whole sets."""
     over, under = SIMILAR
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "wanted-sets")
-    texts = materialize(sets.select("set", "shingles").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles")), "shingle-texts")
+    texts = materialize(shingles_of(wanted, known, rows), "shingle-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,15 +264,16 @@ def fingerprint_links(known: DataFrame) -> DataFrame:
     """(a, b): links between distinct sets that join those whose texts have the same fingerprint or linked ones."""
     owners = materialize(known.groupBy("fp").agg(F.min("set").alias("first")), "fingerprint-owners")
     same = known.select("fp", "set").distinct().join(owners.hint("merge"), "fp").select(F.col("first").alias("a"), F.col("set").alias("b"))
-    near = links(owners.select("fp"))
+    near = linked = links(owners.select("fp"))
     for end in ("a", "b"):
         near = near.join(owners.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")).hint("merge"), end).drop(end).withColumnRenamed(f"_{end}", end)
     found = materialize(same.union(near.select("a", "b")).where("a <> b"), "fingerprint-set-links")
-    release(owners)
+    release(owners, linked)
+    drop_shuffles(known.sparkSession)
     return found
 
 
-def similar_links(known: DataFrame) -> DataFrame:
+def similar_links(known: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): links between distinct sets that join all which linked fingerprints or the similar pairs of a key join; those of band keys are verified."""
     over, under = SIMILAR
     first_links = fingerprint_links(known)
@@ -271,18 +286,18 @@ def similar_links(known: DataFrame) -> DataFrame:
     members = materialize(entries.join(pivots, "key").select("key", "set", "n", "p", "z"), "band-members")
     first = members.select("set", "n", F.explode(F.array("p", "z")).alias("p")).select("set", "n", F.col("p.set").alias("pivot"), F.col("p.n").alias("m"))
     pairs = materialize(first.where(f"set <> pivot AND {fit}").select(F.least("pivot", "set").alias("a"), F.greatest("pivot", "set").alias("b")).distinct(), "star-pairs")
-    stars = materialize(first_links.union(lacking).union(similar(pairs, known)), "stars")
+    stars = materialize(first_links.union(lacking).union(similar(pairs, known, rows)), "stars")
     reached = components(stars).select(F.col("node").alias("set"), "component")
     placed = materialize(members.join(reached, "set", "left").select("key", "set", "n", F.expr("set = p.set OR set = z.set").alias("met"), F.coalesce("component", "set").alias("component")), "placed-members")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     # The pivots have met all members; the others of different components have not met.
     rest = materialize(placed.where("NOT met").join(open_keys, "key", "left_semi"), "open-members")
-    found = materialize(stars.union(joined_sets(rest, known)), "set-links")
+    found = materialize(stars.union(joined_sets(rest, known, rows)), "set-links")
     release(first_links, distinct, members, pairs, stars, placed, rest)
     return found
 
 
-def joined_sets(members: DataFrame, known: DataFrame) -> DataFrame:
+def joined_sets(members: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): verified links that join the components of a key's members wherever any links do.
 
     A task goes through the pairs of its keys in order and passes over those whose components it has joined already.
@@ -290,7 +305,7 @@ def joined_sets(members: DataFrame, known: DataFrame) -> DataFrame:
     over, under = SIMILAR
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     wanted = members.select("set").distinct()
-    sets = known.select("set", "shingles").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("shingles").alias("shingles"))
+    sets = shingles_of(wanted, known, texts)
     rows = members.select("key", "set", "component").join(sets, "set").select(F.pmod(F.xxhash64("key"), F.lit(4 * partitions)).alias("bucket"), "key", "set", "component", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
@@ -333,7 +348,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
     Keys are in the order of doc_id, those without one last, then of the key.
     """
     known = materialize(shingle_sets(rows), "shingle-sets")
-    reached = components(similar_links(known)).select(F.col("node").alias("set"), "component")
+    reached = components(similar_links(known, rows)).select(F.col("node").alias("set"), "component")
     # Copies are counted down to sets first, so a set that a third of the rows share is one row in what follows.
     firsts = known.groupBy("set").agg(F.min(F.struct(F.expr("doc_id IS NULL").alias("none"), "doc_id", "key")).alias("first"))
     rooted = materialize(firsts.join(reached, "set", "left").select("set", "first", F.coalesce("component", "set").alias("root")), "rooted-sets")
