@@ -57,8 +57,8 @@ DISTANCE, MIN_CHARS = 2, 16
 WORDY, BANDS = 10, ((10, 1), (20, 2), (40, 3))
 #: Pairs of different classes that one key may leave before it is refined.
 HOT_PAIRS = 2_000_000
-#: So many ids are sent to every task to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 100_000
+#: The table of bits that every task gets to find the texts of ids has so many rows of 64 bits at most.
+BIT_ROWS = 1_000_000
 _CHUNK = 1 << 20
 _ENTRIES = 1_200_000
 
@@ -88,14 +88,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordCodes(dict):
-    """Hashes of words, each computed once."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        code = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3)
-        return code
+#: Bytes that are white space, as str.split() has it; those that begin longer white space, and its spellings in UTF-8.
+_BLANK, _LEAD = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_WIDE = np.array([int.from_bytes(chr(c).encode(), "big") for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+
+
+class Words:
+    """The words of lines that lie one after another in UTF-8 bytes, found and hashed together."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        blank = _BLANK[data]
+        lead = np.flatnonzero(_LEAD[data])
+        if len(lead):
+            after = [np.where(lead + k < len(data), data[np.minimum(lead + k, len(data) - 1)], 0).astype(np.int64) for k in (1, 2)]
+            two = data[lead].astype(np.int64) << 8 | after[0]
+            for wide, size in ((lead[np.isin(two, _WIDE)], 2), (lead[np.isin(two << 8 | after[1], _WIDE)], 3)):
+                for k in range(size):
+                    blank[wide + k] = True
+        first, last = ~blank, ~blank
+        first[1:] &= blank[:-1]
+        last[:-1] &= blank[1:]
+        # A line may begin right behind the last word of another document.
+        inner = starts[(starts > 0) & (starts < len(data))]
+        first[inner] = ~blank[inner]
+        last[inner - 1] = ~blank[inner - 1]
+        self.data, self.starts = data, np.flatnonzero(first)
+        self.bytes = np.flatnonzero(last) + 1 - self.starts
+        self.at = np.searchsorted(self.starts, starts)
+        self.counts = np.searchsorted(self.starts, ends) - self.at
+
+    def codes(self, lines: np.ndarray) -> np.ndarray:
+        """Hashes of the words of some of the lines."""
+        counts = self.counts[lines]
+        word = np.repeat(self.at[lines] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+        start, size = self.starts[word], self.bytes[word]
+        eight = np.concatenate((self.data, np.zeros(8, dtype=np.uint8)))
+        for kind, k in ((np.uint16, 1), (np.uint32, 2), (np.uint64, 4)):  # the eight bytes from every place on
+            eight = eight.astype(kind)
+            eight[:-k] |= eight[k:] << kind(8 * k)
+        out = size.astype(np.uint64) * _K3
+        going = np.arange(len(out))
+        for k in range(0, min(_LONG, int(size.max(initial=0))), 8):
+            if k:
+                going = going[size[going] > k]
+            out[going] = _mix(out[going] ^ (eight[start[going] + k] & _MASKS[np.minimum(size[going] - k, 8)]))
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.data[start[i] : start[i] + size[i]], 3)
+        return out
 
 
 class Hashed:
@@ -116,9 +160,11 @@ class Hashed:
         return cls(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.uint64), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4)
 
     @classmethod
-    def of_words(cls, lines: list[list[str]], codes: WordCodes) -> Hashed:
-        sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        return cls(np.fromiter((codes[w] for words in lines for w in words), dtype=np.uint64, count=int(sizes.sum())), sizes)
+    def of_words(cls, lines: list[str]) -> Hashed:
+        raw = [x.encode("utf-8", "surrogatepass") for x in lines]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        words = Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes) - sizes, np.cumsum(sizes))
+        return cls(words.codes(np.arange(len(lines))), words.counts)
 
     def sub(self, line: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         at = self.starts[line] + start
@@ -140,7 +186,12 @@ class Relation:
 
     def signed(self, line: str, words: list[str]) -> tuple[bool, bool]:
         """By code points, by words.  Edits of code points change the number of words by one each at most."""
-        return len(line) >= self.min_chars and (not self.bands[1] or len(words) < self.wordy + self.distance), bool(self.bands[1]) and len(words) >= self.wordy
+        by_char, by_word = self.units(np.array([len(words)]))
+        return len(line) >= self.min_chars and bool(by_char[0]), bool(by_word[0])
+
+    def units(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """signed() for numbers of words, of lines that are long enough by code points."""
+        return (words > 0) & (words < self.wordy + self.distance if self.bands[1] else True), (words >= self.wordy) & bool(self.bands[1])
 
     def linked(self, a: str, b: str) -> bool:
         return self.near(a, a.split(), b, b.split())
@@ -206,28 +257,53 @@ def _line_id(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
 
 
+def _bytes_and_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts, and where their lines that are not empty start and end in them."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data or b"", dtype=np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    breaks = np.flatnonzero(raw == 10)
+    starts, ends = np.sort(np.concatenate((bounds[:-1], breaks + 1))), np.sort(np.concatenate((breaks, bounds[1:])))
+    return raw, starts[starts < ends], ends[starts < ends]
+
+
 def signed_lines(docs: DataFrame, buckets: np.ndarray, relation: Relation) -> DataFrame:
     """Packed index and probe entries of the distinct lines of each task."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         seen: set[int] = set()
         groups: list = []
-        held: tuple[list, list] = ([], [])
-        ids: tuple[list[int], list[int]] = ([], [])
-        latest: set[str] = set()  # of one batch
-        chars = n = 0
-
-        def sign() -> None:
-            nonlocal held, ids, chars, n
-            for unit in (0, 1):
-                if held[unit]:
-                    h, own = Hashed.of_words(held[1], codes) if unit else Hashed.of_chars(held[0]), np.array(ids[unit], dtype=np.uint64)
-                    for line, key, *_ in entries(h, unit, relation.bands[unit]):
-                        groups.append((key, own[line], h.sketch[line]))
-                        n += len(line)
-            held, ids, chars = ([], []), ([], []), 0
+        n = 0
+
+        def sign(unit: int, h: Hashed, ids: np.ndarray) -> None:
+            nonlocal n
+            for line, key, *_ in entries(h, unit, relation.bands[unit]):
+                groups.append((key, ids[line], h.sketch[line]))
+                n += len(line)
+
+        def sign_lines(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+            words = Words(raw, starts, ends)
+            units = relation.units(words.counts)
+            view, ids, new = memoryview(raw), np.zeros(len(starts), dtype=np.uint64), []
+            short: list[tuple[int, str]] = []
+            for k in np.flatnonzero(units[0] | units[1]).tolist():
+                line = view[starts[k] : ends[k]]
+                known = xxhash.xxh64_intdigest(line, 42)
+                if known not in seen:
+                    seen.add(known)
+                    ids[k] = known
+                    new.append(k)
+                    if units[0][k] and len(text := str(line, "utf-8")) >= relation.min_chars:
+                        short.append((k, text))
+            if short:
+                sign(0, Hashed.of_chars([text for _, text in short]), ids[[k for k, _ in short]])
+            wordy = np.array(new, dtype=np.int64)
+            wordy = wordy[units[1][wordy]]
+            if len(wordy):
+                sign(1, Hashed(words.codes(wordy), words.counts[wordy]), ids[wordy])
 
         def packed() -> pa.RecordBatch:
             nonlocal groups, n
@@ -236,31 +312,17 @@ def signed_lines(docs: DataFrame, buckets: np.ndarray, relation: Relation) -> Da
             return _pack(key, more, buckets)
 
         for batch in batches:
-            latest.clear()
-            for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
-                    if line in latest:
-                        continue
-                    latest.add(line)
-                    words = line.split()
-                    units = relation.signed(line, words)
-                    if words and any(units):
-                        known = _line_id(line)
-                        if known not in seen:
-                            seen.add(known)
-                            for unit in (0, 1):
-                                if units[unit]:
-                                    held[unit].append(words if unit else line)
-                                    ids[unit].append(known)
-                            chars += len(line)
-                            if chars >= _CHUNK:
-                                sign()
-                                if n >= _ENTRIES:
-                                    yield packed()
-        sign()
+            raw, starts, ends = _bytes_and_lines(batch.column(0))
+            cuts = [0, *(np.flatnonzero(np.diff(starts // _CHUNK)) + 1).tolist(), len(starts)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i < j:
+                    at = starts[i]
+                    sign_lines(raw[at : ends[j - 1]], starts[i:j] - at, ends[i:j] - at)
+                    if n >= _ENTRIES:
+                        yield packed()
         if groups:
             yield packed()
-        seen.clear(), latest.clear(), codes.clear()
+        seen.clear()
         give_back()
 
     return bare(docs, "text").mapInArrow(run, "bucket long, payload binary")
@@ -342,20 +404,25 @@ def crossed(members: DataFrame, texts: DataFrame, relation: Relation, buckets: i
         known: set[tuple[int, int]] = set()
         out: list[tuple[int, int, int, int]] = []
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        for at, to in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-            for i in np.flatnonzero(role[at:to] == 0) + at:
-                other = np.arange(at, to)
-                other = other[(group[at:to] != group[i]) & ((role[at:to] == 1) | (other > i)) & (ids[at:to] != ids[i])]
-                other = other[_close(np.full(len(other), key[i]).view(np.uint64), sketch[other], np.full(len(other), sketch[i]))]
-                for j in other.tolist():
-                    x, y = find(int(group[i])), find(int(group[j]))
-                    pair = (min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j])))
-                    if x != y and pair not in known:
-                        known.add(pair)
-                        if relation.linked(lines[int(i)].as_py(), lines[j].as_py()):
-                            up[x] = y
-                            ends = [(int(ids[k]), int(second[k])) for k in (i, j)]
-                            out.append((*min(ends), *max(ends)))
+        size = np.diff(np.append(first, len(key)))
+        members = np.flatnonzero(role == 0)
+        at, n = np.repeat(first, size)[members], np.repeat(size, size)[members]
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // _CHUNK)) + 1).tolist(), len(members)]
+        for f, t in zip(cuts[:-1], cuts[1:], strict=True):  # all pairs of some index members at once
+            i = np.repeat(members[f:t], n[f:t])
+            j = np.repeat(at[f:t] - (np.cumsum(n[f:t]) - n[f:t]), n[f:t]) + np.arange(len(i))
+            ok = (group[i] != group[j]) & ((role[j] == 1) | (j > i)) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            ok = _close(key[i].view(np.uint64), sketch[i], sketch[j])
+            for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                x, y = find(int(group[a])), find(int(group[b]))
+                pair = (min(int(ids[a]), int(ids[b])), max(int(ids[a]), int(ids[b])))
+                if x != y and pair not in known:
+                    known.add(pair)
+                    if relation.linked(lines[a].as_py(), lines[b].as_py()):
+                        up[x] = y
+                        ends = [(int(ids[k]), int(second[k])) for k in (a, b)]
+                        out.append((*min(ends), *max(ends)))
         return pa.Table.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], names=["a1", "a2", "b1", "b2"])
 
     return rows.groupBy("bucket").applyInArrow(run, "a1 long, a2 long, b1 long, b2 long")
@@ -385,15 +452,14 @@ def _around(h: Hashed, line: int, s: int, e: int, target: int, i: int, limit: in
     return out
 
 
-def _sequences(lines: list[str], unit: int, codes: WordCodes) -> Hashed:
-    return Hashed.of_words([x.split() for x in lines], codes) if unit else Hashed.of_chars(lines)
+def _sequences(lines: list[str], unit: int) -> Hashed:
+    return Hashed.of_words(lines) if unit else Hashed.of_chars(lines)
 
 
 def _opened(members: DataFrame, relation: Relation) -> DataFrame:
     """(key, h1, role, line) of hot first keys with the pieces around the segment that the key stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for batch in batches:
             wanted: dict[str, set[int]] = {}
             for key, role, line in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
@@ -403,7 +469,7 @@ def _opened(members: DataFrame, relation: Relation) -> DataFrame:
                 lines = [x for x in wanted if relation.signed(x, x.split())[unit]]
                 if not lines:
                     continue
-                h = _sequences(lines, unit, codes)
+                h = _sequences(lines, unit)
                 own = np.array([_line_id(x) for x in lines], dtype=np.uint64).view(np.int64)
                 any_key = np.array(sorted({k for x in lines for k in wanted[x]}), dtype=np.uint64)
                 for line, key, at, size, i, target, t, role in entries(h, unit, relation.bands[unit]):
@@ -421,7 +487,6 @@ def _refined(members: DataFrame) -> DataFrame:
     names = ("key", "h1", "role", "unit", "sketch", "pieces", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for batch in batches:
             rows = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
             out: list[dict] = []
@@ -432,7 +497,7 @@ def _refined(members: DataFrame) -> DataFrame:
                 places: dict[str, int] = {}
                 for r in own:
                     places.setdefault(r[6], len(places))
-                h = _sequences(list(places), unit, codes)
+                h = _sequences(list(places), unit)
                 for key, h1, role, _, sketch, pieces, line in own:
                     n, best = places[line], best_piece(pieces)
                     p = pieces[best]
@@ -544,10 +609,17 @@ _FULL = r"[^\x20\x09-\x0D\x1c-\x1f\x85\p{Z}]"
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(h1, h2, line) once for every line with one of the ids; ids are sent to the tasks only up to a checked number."""
-    few = ids.count() <= BROADCAST_IDS
-    rows = bare(docs, "text").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("h1"), "line").join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    return rows.distinct().select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "line")
+    """(h1, h2, line) once for every line with one of the ids.
+
+    Most lines have none.  A table of bits, 16 for an id where ``BIT_ROWS`` allows, goes to every task and drops nearly all of these
+    where they are read, so their texts are not shuffled; the ids decide on the rest.
+    """
+    rows = max(1, min(BIT_ROWS, ids.count() // 4))
+    word, bit = F.pmod("h1", F.lit(rows)).alias("word"), "cast(shiftrightunsigned(h1, 58) AS int)"
+    bits = ids.select(word, F.expr(f"shiftleft(1L, {bit})").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    lines = bare(docs, "text").select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("h1"), "line")
+    some = lines.select("*", word).join(F.broadcast(bits), "word").where(f"shiftrightunsigned(bits, {bit}) & 1 = 1").select("h1", "line").distinct()
+    return some.join(ids, "h1", "left_semi").select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, relation: Relation) -> DataFrame:
@@ -597,18 +669,21 @@ BLOCK = 256
 
 
 def link_counts(reached: DataFrame, texts: DataFrame, relation: Relation, block: int) -> DataFrame:
-    """(h1, h2, n_links) of (h1, component): with how many other texts each line is linked.
+    """(h1, h2, component, n_links) of (h1, component): with how many other texts each line is linked.
 
     Linked lines are in one class, so all pairs of a class are held against each other: their sizes and sketches
     together in numpy, what passes on the texts.  A task counts the links of two blocks, and no row is made for a
-    link; the two lines of a class of two are linked already.
+    link; the two lines of a class of two are linked already.  The pairs of blocks of a class are dealt one after
+    another to all partitions, four buckets in each.
     """
-    partitions = int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = routing_keys(reached.sparkSession, 4)
     sizes = reached.groupBy("component").agg(F.count("*").alias("n"))
     known = reached.join(sizes, "component").join(texts, "h1")
     dealt = known.where("n > 2").withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "h1"), "blocks"))
     pairs = dealt.select("component", "h1", "h2", "line", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(F.col("component").alias("class"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h1", "h2", "line")
-    rows = pairs.select(F.pmod(F.xxhash64("class", "x", "y"), F.lit(4 * partitions)).alias("bucket"), "class", "x", "y", "own", "h1", "h2", "line")
+    turn = F.expr(f"pmod(xxhash64(class), {len(buckets)}) + y * (y + 1) div 2 + x")
+    keys = F.array(*[F.lit(k).cast("long") for k in buckets[0::4] + buckets[1::4] + buckets[2::4] + buckets[3::4]])
+    rows = pairs.select(F.get(keys, F.pmod(turn, F.lit(len(buckets))).cast("int")).alias("bucket"), "class", "x", "y", "own", "h1", "h2", "line")
 
     def run(table: pa.Table) -> pa.Table:
         group, x, y, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("class", "x", "y", "own"))
@@ -616,7 +691,6 @@ def link_counts(reached: DataFrame, texts: DataFrame, relation: Relation, block:
         group, x, y, own = group[order], x[order], y[order], own[order]
         lines = table.column("line").combine_chunks().take(pa.array(order)).to_pylist()
         words = [line.split() for line in lines]
-        codes = WordCodes()
         counts = np.zeros(len(lines), dtype=np.int64)
         first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
         for at, to in zip(first.tolist(), [*first[1:].tolist(), len(lines)], strict=True):
@@ -624,22 +698,22 @@ def link_counts(reached: DataFrame, texts: DataFrame, relation: Relation, block:
             whole = x[at] == y[at]  # one block with itself
             if not whole and middle in (at, to):
                 continue
-            near = _near(lines[at:to], words[at:to], relation, codes) if to - at > 8 else None
+            near = _near(lines[at:to], relation) if to - at > 8 else None
             for i in range(at, to if whole else middle):
                 others = range(max(i + 1, at if whole else middle), to)
                 for j in others if near is None else (np.flatnonzero(near(i - at, others.start - at)) + others.start).tolist():
                     if relation.near(lines[i], words[i], lines[j], words[j]):
                         counts[i] += 1
                         counts[j] += 1
-        return pa.Table.from_arrays([*(table.column(c).combine_chunks().take(pa.array(order)) for c in ("h1", "h2")), pa.array(counts)], names=["h1", "h2", "n"])
+        return pa.Table.from_arrays([*(table.column(c).combine_chunks().take(pa.array(order)) for c in ("h1", "h2", "class")), pa.array(counts)], names=["h1", "h2", "component", "n"])
 
-    counted = rows.groupBy("bucket").applyInArrow(run, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n_links"))
-    return counted.union(known.where("n = 2").select("h1", "h2", F.lit(1).cast("long").alias("n_links")))
+    counted = rows.groupBy("bucket").applyInArrow(run, "h1 long, h2 long, component long, n long").groupBy("h1", "h2", "component").agg(F.sum("n").alias("n_links"))
+    return counted.union(known.where("n = 2").select("h1", "h2", "component", F.lit(1).cast("long").alias("n_links")))
 
 
-def _near(lines: list[str], words: list[list[str]], relation: Relation, codes: WordCodes) -> Callable[[int, int], np.ndarray]:
+def _near(lines: list[str], relation: Relation) -> Callable[[int, int], np.ndarray]:
     """A function of (i, start): which lines from start on may be linked to line i by their sizes and sketches."""
-    by_char, by_word = Hashed.of_chars(lines), Hashed.of_words(words, codes)
+    by_char, by_word = Hashed.of_chars(lines), Hashed.of_words(lines)
     leasts, most = np.array([least for least, _ in relation.bands[1]], dtype=np.int64), np.maximum.accumulate([0, *(t for _, t in relation.bands[1])])
 
     def near(i: int, start: int) -> np.ndarray:
@@ -670,20 +744,23 @@ def judged_lines(docs: DataFrame, lines: DataFrame, relation: Relation | None =
     this one, or, if they need not be counted, the links that join its class.
     """
     lines = lines.where("h1 IS NOT NULL").select(F.expr("coalesce(doc_id, -9223372036854775808L)").alias("id"), "row_no", "line_no", "h1", "h2")
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "row_no", "line_no")).alias("first")), "line-firsts")
     links, texts = _links_and_texts(docs, relation or Relation(), hot_pairs)
     reached = components(links.selectExpr("a1 AS a", "b1 AS b")).selectExpr("node AS h1", "component")
     if counted:
         ends = link_counts(reached, texts, relation or Relation(), BLOCK)
     else:
-        ends = links.select(F.explode(F.expr("array(struct(a1 AS h1, a2 AS h2), struct(b1 AS h1, b2 AS h2))")).alias("x")).groupBy("x.h1", "x.h2").agg(F.count("*").alias("n_links"))
-    rooted = materialize(firsts.join(reached, "h1", "left").join(ends, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component"), "rooted-lines")
-    # Lines without a link are their own class; only the linked ones meet.
+        ends = links.select(F.explode(F.expr("array(struct(a1 AS h1, a2 AS h2), struct(b1 AS h1, b2 AS h2))")).alias("x")).groupBy("x.h1", "x.h2").agg(F.count("*").alias("n_links")).join(reached, "h1").select("h1", "h2", "component", "n_links")
+    # A text that occurs once and has no link is its own class; only the others are written and joined.
+    first, none = F.struct("id", "row_no", "line_no"), F.lit(None).cast("long")
+    both = lines.select("h1", "h2", first.alias("first"), none.alias("component"), none.alias("n_links")).union(ends.select("h1", "h2", F.lit(None).cast("struct<id:long,row_no:long,line_no:int>"), "component", "n_links"))
+    firsts = both.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("first").alias("n"), F.max("component").alias("component"), F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
+    rooted = materialize(firsts.where("n > 1 OR n > 0 AND component IS NOT NULL"), "rooted-lines")
     linked = rooted.where("component IS NOT NULL")
     by_class = linked.join(linked.groupBy("component").agg(F.min("first").alias("class")), "component").select("h1", "h2", "n_links", "class")
     classes = materialize(by_class.union(rooted.where("component IS NULL").selectExpr("h1", "h2", "n_links", "first AS class")), "line-classes")
-    release(firsts, links, texts, rooted)
-    return lines.join(classes, ["h1", "h2"]).select("row_no", "line_no", F.expr("nullif(class.id, -9223372036854775808L)").alias("class_id"), F.col("class.line_no").alias("class_line"), "n_links", F.expr("class.row_no = row_no AND class.line_no = line_no").alias("kept"))
+    release(links, texts, rooted)
+    placed = lines.join(classes, ["h1", "h2"], "left").withColumn("class", F.coalesce("class", first)).withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+    return placed.select("row_no", "line_no", F.expr("nullif(class.id, -9223372036854775808L)").alias("class_id"), F.col("class.line_no").alias("class_line"), "n_links", F.expr("class.row_no = row_no AND class.line_no = line_no").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, relation: Relation | None = None, hot_pairs: int = HOT_PAIRS) -> DataFrame:

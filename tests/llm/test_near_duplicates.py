@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -249,6 +250,42 @@ def test_every_link_of_a_line_is_counted(spark, monkeypatch, block):
     assert judged(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.Relation()) == want
 
 
+def test_words_of_bytes_are_those_of_str_split():
+    """Words, their numbers and one hash for each, over white space of all kinds and long words; documents lie end to end."""
+    r = random.Random(15)
+    parts = ["a", "bc", "é", "中", "🙂", " ", " ", "\t", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\n", "â", "ã", "\u200b", "x" * 300, "y" * 9]
+    codes = {}
+    for _ in range(200):
+        texts = [None if r.random() < 0.1 else "".join(r.choices(parts, k=r.randint(0, 30))) for _ in range(12)]
+        raw, starts, ends = line_dedup._bytes_and_lines(pa.array(texts, pa.string())[3:])
+        lines = [x for t in texts[3:] for x in (t or "").split("\n") if x]
+        assert [bytes(raw[a:b]).decode() for a, b in zip(starts, ends, strict=True)] == lines
+        words = line_dedup.Words(raw, starts, ends)
+        assert words.counts.tolist() == [len(x.split()) for x in lines]
+        for code, word in zip(words.codes(np.arange(len(lines))).tolist(), [w for x in lines for w in x.split()], strict=True):
+            assert codes.setdefault(word, code) == code
+        assert line_dedup.Hashed.of_words(lines).sizes.tolist() == words.counts.tolist()
+    assert len(set(codes.values())) == len(codes) > 500
+
+
+def test_texts_that_no_candidate_names_are_not_shuffled(spark):
+    """However many ids there are: what is shuffled follows the lines that have one, not all lines."""
+    docs = spark.range(200, numPartitions=4).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 500), k -> concat('line ', k, ' of ', id)), '\n') AS text")
+    named = spark.range(200).selectExpr("xxhash64(concat('line 7 of ', id)) AS h1")
+    ids = named.union(spark.range(110_000).selectExpr("xxhash64(id, id) AS h1"))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    before, limit = stages().size(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = line_dedup._texts(docs, ids).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(x.line for x in got) == sorted(f"line 7 of {k}" for k in range(200))
+    found = stages()
+    written = [found.apply(k).shuffleWriteRecords() for k in range(found.size() - before) if found.apply(k).inputRecords() == 200]  # the latest come first
+    assert len(written) == 1 and 200 <= written[0] < 20_000
+
+
 def test_line_dedup_query_and_stage(spark, awkward, nothing):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")
