@@ -61,6 +61,7 @@ HOT_PAIRS = 2_000_000
 BIT_ROWS = 1_000_000
 _CHUNK = 1 << 20
 _ENTRIES = 1_200_000
+_PAIRS = 1 << 18
 
 _U = np.uint64
 _BASE, _K1, _K2, _K3 = 0x9E3779B97F4A7C15, _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
@@ -407,7 +408,7 @@ def crossed(members: DataFrame, texts: DataFrame, relation: Relation, buckets: i
         size = np.diff(np.append(first, len(key)))
         members = np.flatnonzero(role == 0)
         at, n = np.repeat(first, size)[members], np.repeat(size, size)[members]
-        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // _CHUNK)) + 1).tolist(), len(members)]
+        cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // _PAIRS)) + 1).tolist(), len(members)]
         for f, t in zip(cuts[:-1], cuts[1:], strict=True):  # all pairs of some index members at once
             i = np.repeat(members[f:t], n[f:t])
             j = np.repeat(at[f:t] - (np.cumsum(n[f:t]) - n[f:t]), n[f:t]) + np.arange(len(i))
@@ -673,17 +674,14 @@ def link_counts(reached: DataFrame, texts: DataFrame, relation: Relation, block:
 
     Linked lines are in one class, so all pairs of a class are held against each other: their sizes and sketches
     together in numpy, what passes on the texts.  A task counts the links of two blocks, and no row is made for a
-    link; the two lines of a class of two are linked already.  The pairs of blocks of a class are dealt one after
-    another to all partitions, four buckets in each.
+    link; the two lines of a class of two are linked already.
     """
-    buckets = routing_keys(reached.sparkSession, 4)
+    partitions = int(reached.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = reached.groupBy("component").agg(F.count("*").alias("n"))
     known = reached.join(sizes, "component").join(texts, "h1")
     dealt = known.where("n > 2").withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64(F.lit(2), "h1"), "blocks"))
     pairs = dealt.select("component", "h1", "h2", "line", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other")).select(F.col("component").alias("class"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h1", "h2", "line")
-    turn = F.expr(f"pmod(xxhash64(class), {len(buckets)}) + y * (y + 1) div 2 + x")
-    keys = F.array(*[F.lit(k).cast("long") for k in buckets[0::4] + buckets[1::4] + buckets[2::4] + buckets[3::4]])
-    rows = pairs.select(F.get(keys, F.pmod(turn, F.lit(len(buckets))).cast("int")).alias("bucket"), "class", "x", "y", "own", "h1", "h2", "line")
+    rows = pairs.select(F.pmod(F.xxhash64("class", "x", "y"), F.lit(4 * partitions)).alias("bucket"), "class", "x", "y", "own", "h1", "h2", "line")
 
     def run(table: pa.Table) -> pa.Table:
         group, x, y, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("class", "x", "y", "own"))
